@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, secrets, token_files, urls
+from . import decontam, exact_dedup, near_dup, packing, quality, quotes, secrets, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,20 +29,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op5_packing, op7_secret_scan, op10_token_files)}
+    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op4_quote_links, op5_packing, op6_quality, op7_secret_scan, op8_decontamination, op9_near_dedup, op10_token_files)}
 
 
 OP2_SQL = r"""
