@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, near_dup, packing, quality, quotes, secrets, token_files, urls
+from . import decontam, exact_dedup, near_dup, packing, quality, quotes, repeats, secrets, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op4_quote_links, op5_packing, op6_quality, op7_secret_scan, op8_decontamination, op9_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_repeats, op2_url_filter, op3_exact_dedup, op4_quote_links, op5_packing, op6_quality, op7_secret_scan, op8_decontamination, op9_near_dedup, op10_token_files)}
 
 
 OP2_SQL = r"""
