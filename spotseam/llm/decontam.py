@@ -107,37 +107,73 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     need(docs, id_col, text_col)
     need(benchmark, item_col, item_text_col)
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    dealt, shards = _shards(items, shard_bytes)
     doc_type, item_type = src.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, item_id {item_type}, start_word long, n_words long, n_equal long"
     out: DataFrame | None = None
     for s in range(shards):
-        rows = dealt.filter(F.col("shard") == s).select("item_id", "text").orderBy("item_id").collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = src.mapInArrow(_finder(sent, masks, least, to_arrow_type(items.schema["item_id"].dataType)), schema)
+        found = src.mapInArrow(_finder(_sent(dealt, s), masks, least, to_arrow_type(items.schema["item_id"].dataType)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs`` that overlap no item, all their columns as they are; nothing is shuffled."""
+    need(docs, text_col)
+    need(benchmark, item_col, item_text_col)
+    dealt, shards = _shards(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), shard_bytes)
+    for s in range(shards):
+        docs = docs.mapInArrow(_filter(_sent(dealt, s), masks, least, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _shards(items: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    return items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), shards
+
+
+def _sent(dealt: DataFrame, shard: int):
+    """One shard of items, at most about ``shard_bytes``, on its way to all tasks."""
+    rows = dealt.filter(F.col("shard") == shard).select("item_id", "text").orderBy("item_id").collect()
+    return dealt.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _overlaps(index: Index, hashes: WordHashes, texts: list[str | None], least: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(equal words, minus the first word, words) of the best overlap by (text, item)."""
+    flat, counts = hashes.of(texts)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for d, i, diagonal in index.hits(flat, starts, ends):
+        at, n, same = overlap(flat[starts[d] : ends[d]], index.words[i], diagonal)
+        if same >= min(least, len(index.words[i])):
+            best[d, i] = max(best.get((d, i), (0, 0, 0)), (same, -at, n))
+    return best
+
+
+def _filter(sent, masks: tuple[str, ...], least: int, at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hashes = Index(*sent.value, masks), WordHashes(_normal)
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            good = np.ones(len(texts), bool)
+            for part in batches_of(texts):
+                good[[part.start + d for d, _ in _overlaps(index, hashes, texts[part], least)]] = False
+            yield b.filter(pa.array(good))
+
+    return keep
+
+
 def _finder(sent, masks: tuple[str, ...], least: int, item_type: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, hashes = Index(*sent.value, masks), WordHashes(_normal)
         for b in batches:
             texts = b.column("text").to_pylist()
             for part in batches_of(texts):
-                flat, counts = hashes.of(texts[part])
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for d, i, diagonal in index.hits(flat, starts, ends):
-                    at, n, same = overlap(flat[starts[d] : ends[d]], index.words[i], diagonal)
-                    if same >= min(least, len(index.words[i])):
-                        best[d, i] = max(best.get((d, i), (0, 0, 0)), (same, -at, n))
+                best = _overlaps(index, hashes, texts[part], least)
                 keys = sorted(best)
                 ids = b.column("doc_id")
                 col = lambda v: pa.array(v, pa.int64())

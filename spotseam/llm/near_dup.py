@@ -121,7 +121,7 @@ class _Elements:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), class_size, kept.
+    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), class_size, kept, text_hash.
 
     Classes are the connected components of all links of similarity ``similar`` and more
     between lower-cased runs of ``k`` words; with ``weights="count"`` an element weighs as often as
@@ -135,7 +135,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     need(docs, id_col, text_col)
     counted = {"set": False, "count": True}[weights]
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +152,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     key_rows[i], byte_rows[i] = keys[n], small[n].tobytes()
                 names = [elements.name(e, None if w is None else w[i]) for i, e in enumerate(found)]
                 yield pa.record_batch(
-                    [b.column("doc_id")[part.start : part.stop], pa.array(names, pa.binary()), pa.array([len(e) for e in found], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
-                    ["doc_id", "node", "n", "keys", "sig"],
+                    [b.column("doc_id")[part.start : part.stop], b.column("text_hash")[part.start : part.stop], pa.array(names, pa.binary()), pa.array([len(e) for e in found], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
+                    ["doc_id", "text_hash", "node", "n", "keys", "sig"],
                 )
 
-    sketches = cut(src.mapInArrow(sketch, f"doc_id {kind}, node binary, n long, keys array<long>, sig binary"), "sketches")
+    sketches = cut(src.mapInArrow(sketch, f"doc_id {kind}, text_hash long, node binary, n long, keys array<long>, sig binary"), "sketches")
     first = F.min_by(F.struct("n", "keys", "sig"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
     nodes = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), first.alias("f")).select("node", "doc_id", "copies", "f.*"), "nodes")
 
@@ -177,8 +177,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = cut(nodes.select("node", "doc_id", "copies").join(roots.hint("merge"), "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root")), "classes")
     sizes = cut(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "class-sizes")
     by_node = cut(named.select("node", "root").join(sizes.hint("merge"), "root").select("node", "class_id", "class_size"), "class-of-node")
-    out = sketches.select("doc_id", "node").join(by_node.hint("merge"), "node")
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = sketches.select("doc_id", "text_hash", "node").join(by_node.hint("merge"), "node")
+    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame, similar: float, k: int, counted: bool) -> DataFrame:

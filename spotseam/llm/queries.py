@@ -11,7 +11,7 @@ from . import decontam, exact_dedup, near_dup, packing, quality, quotes, repeats
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -38,7 +38,7 @@ def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_files.token_files(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Query]:
