@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ..functions.scalars import col, frame
 from .score import COMMERCIAL, PROGRAM
 
-_BY = W.partitionBy("rec_id")
-_IN_ORDER = _BY.orderBy("start_us")
-_SO_FAR = _IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
+
+def _in_order() -> WindowSpec:
+    return W.partitionBy("rec_id").orderBy("start_us")
+
+
+def _so_far() -> WindowSpec:
+    return _in_order().rowsBetween(W.unboundedPreceding, 0)
 
 
 def folded(parts: Column) -> Column:
@@ -25,11 +30,11 @@ def folded(parts: Column) -> Column:
 
 def islands(windows: DataFrame) -> DataFrame:
     """One segment per run of one class, its confidence the mean score."""
-    w = _BY.orderBy("i")
+    w = W.partitionBy("rec_id").orderBy("i")
     new = F.when(F.col("classification") == F.lag("classification").over(w), 0).otherwise(1)
     runs = windows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.groupBy("rec_id", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.first("classification").alias("type"), F.avg("p").alias("confidence"))
-    return out.drop("_run")
+    out = runs.groupBy("rec_id", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max(F.col("classification") == COMMERCIAL).alias("_c"), F.avg("p").alias("confidence"))
+    return out.select("rec_id", "start_us", "end_us", F.when(F.col("_c"), COMMERCIAL).otherwise(PROGRAM).alias("type"), "confidence")
 
 
 def with_frames(segments: DataFrame, fps) -> DataFrame:
@@ -66,11 +71,11 @@ def bridge_gaps(segments: DataFrame, gap_s) -> DataFrame:
     Whether a gap closes depends on its own length and its two neighbours only, so one
     pass does what repeated merging would.  The gap's own confidence doesn't count.
     """
-    between = (F.col("type") == PROGRAM) & (F.lag("type").over(_IN_ORDER) == COMMERCIAL) & (F.lead("type").over(_IN_ORDER) == COMMERCIAL)
+    between = (F.col("type") == PROGRAM) & (F.lag("type").over(_in_order()) == COMMERCIAL) & (F.lead("type").over(_in_order()) == COMMERCIAL)
     closed = F.coalesce(between & (col(gap_s) > 0) & (F.col("end_us") - F.col("start_us") <= col(gap_s) * 1_000_000), F.lit(False))
     marked = segments.withColumn("_skip", closed)
-    new = F.when(F.col("_skip") | F.coalesce(F.lag("_skip").over(_IN_ORDER), F.lit(False)), 0).otherwise(1)
-    return _merge(marked.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_SO_FAR)))
+    new = F.when(F.col("_skip") | F.coalesce(F.lag("_skip").over(_in_order()), F.lit(False)), 0).otherwise(1)
+    return _merge(marked.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_so_far())))
 
 
 def limit_duration(segments: DataFrame, min_s, max_s) -> DataFrame:
@@ -82,8 +87,8 @@ def limit_duration(segments: DataFrame, min_s, max_s) -> DataFrame:
 
 def merge_adjacent(segments: DataFrame) -> DataFrame:
     """Neighbours of one type become one segment."""
-    new = F.when(F.col("type") == F.lag("type").over(_IN_ORDER), 0).otherwise(1)
-    return _merge(segments.withColumns({"_skip": F.lit(False), "_new": new}).withColumn("_run", F.sum("_new").over(_SO_FAR)))
+    new = F.when(F.col("type") == F.lag("type").over(_in_order()), 0).otherwise(1)
+    return _merge(segments.withColumns({"_skip": F.lit(False), "_new": new}).withColumn("_run", F.sum("_new").over(_so_far())))
 
 
 def recheck_skips(segments: DataFrame, skip_start_s, skip_end_s, duration_us) -> DataFrame:
@@ -95,7 +100,7 @@ def recheck_skips(segments: DataFrame, skip_start_s, skip_end_s, duration_us) ->
 
 def numbered(segments: DataFrame) -> DataFrame:
     """With seg_no from 0 in time order, and no of the segment among its type from 1."""
-    return segments.withColumns({"seg_no": (F.row_number().over(_IN_ORDER) - 1).cast("bigint"), "type_no": F.row_number().over(W.partitionBy("rec_id", "type").orderBy("start_us")).cast("bigint")})
+    return segments.withColumns({"seg_no": (F.row_number().over(_in_order()) - 1).cast("bigint"), "type_no": F.row_number().over(W.partitionBy("rec_id", "type").orderBy("start_us")).cast("bigint")})
 
 
 def totals(segments: DataFrame) -> DataFrame:

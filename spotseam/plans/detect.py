@@ -52,7 +52,8 @@ def present_signals(recordings: DataFrame, found: DataFrame, p: Params) -> DataF
 def scored_windows(recordings: DataFrame, found: DataFrame, p: Params) -> DataFrame:
     """Every grid window with its share of weights, before smoothing."""
     cells = intervals.grid(recordings, p.window_us)
-    placed = found.join(recordings.select("rec_id", "duration_us"), "rec_id")
+    # By recording from here on: the hits, their sums and the weights meet without another exchange.
+    placed = found.join(recordings.select("rec_id", "duration_us"), "rec_id").repartition("rec_id")
     hits = intervals.overlap_windows(placed, p.window_us, F.col("duration_us"))
     return score.on_grid(cells, score.window_scores(hits, present_signals(recordings, found, p), p.inverted, cells))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ SQL: dict[str, str] = {}
 
 FLAGSHIP = Params(merge_gap=20, skip_start=90, skip_end=60)
 GAP, LONG, LEAST = 220_000_000, 60_000_000, 2
-TODAY = F.to_date(F.lit("2024-06-01"))
+TODAY = datetime.date(2024, 6, 1)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
