@@ -9,7 +9,7 @@ from ..functions.scalars import basename, extension, glob_regex, stem, with_exte
 
 #: Extensions of recordings, and the extension of each output format.
 MEDIA = (".ts", ".mpg", ".mpeg", ".mkv", ".mp4", ".avi", ".wtv", ".m2ts", ".mts")
-FORMATS = {"Edl": ".edl", "ComskipTxt": ".txt", "MkvChapters": ".chapters.xml", "Json": ".commdetect.json", "FFMetadata": ".ffmeta"}
+FORMATS = {"Edl": ".edl", "ComskipTxt": ".txt", "MkvChapters": ".chapters.xml", "Json": ".breaks.json", "FFMetadata": ".ffmeta"}
 DONE_MARK = "FILE PROCESSING COMPLETE"
 
 

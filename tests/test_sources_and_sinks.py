@@ -177,7 +177,7 @@ def test_renderers(spark):
     assert doc["segments"][1]["confidence"] == 0.1234 and doc["totalDuration"] == "01:00:00" and doc["resolution"] == "1280x720"
     assert json.loads(text(render.json_result(s, r), 2))["segments"] == []
     both = render.render(s, r, ["Edl", "Json"]).collect()
-    assert sorted(x["path"] for x in both if x["rec_id"] == 1) == ["/r/My Show.commdetect.json", "/r/My Show.edl"]
+    assert sorted(x["path"] for x in both if x["rec_id"] == 1) == ["/r/My Show.breaks.json", "/r/My Show.edl"]
 
 
 def test_written_files(spark, tmp_path):
