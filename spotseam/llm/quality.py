@@ -70,15 +70,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 0.01) -> np.ndarray:
     """Weights (bias last) by Adam on the non-negative risk with logistic loss."""
-    p = np.hstack([positive, np.ones((len(positive), 1), positive.dtype)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), unlabelled.dtype)])
-    w = np.zeros(p.shape[1])
+    p, u = positive, unlabelled
+    w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    raw = lambda x: x @ w[:-1].astype(x.dtype) + w[-1]
+    mean = lambda x, s: np.append(x.T @ s.astype(x.dtype), s.sum()) / len(x)
     for t in range(1, steps + 1):
-        zp, zu = p @ w.astype(p.dtype), u @ w.astype(u.dtype)
-        g = prior * (p.T @ (_sigmoid(zp) - 1)) / len(p)
+        zp, zu = raw(p), raw(u)
+        g = prior * mean(p, _sigmoid(zp) - 1)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+        down = mean(u, _sigmoid(zu)) - prior * mean(p, _sigmoid(zp))
         g = (g + down if negative >= 0 else -down) + decay * w  # below zero the risk of negatives is pushed back up
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -104,7 +105,10 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple
 
 def _centred(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     n = np.expm1(x[:, KINDS * KINDS])[:, None]
-    return (x - mean) / scale * (n / (n + SHRINK))
+    out = x - mean
+    out /= scale
+    out *= n / (n + SHRINK)
+    return out
 
 
 @dataclass(frozen=True)
@@ -152,14 +156,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     got = rows.orderBy("h", "quality", "x").limit(fit_rows).collect()  # ids that repeat can't make them more than the bound
     if not got:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1), 1.0, 0.0, 0.5)
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), WIDTH)
-    y = np.array([r["quality"] for r in got])
-    first = np.zeros(len(y), bool)
-    positives = np.flatnonzero(y == 1)
-    first[positives[: int(np.ceil(trusted * len(positives)))]] = True
+    positives = [i for i, r in enumerate(got) if r["quality"] == 1]
+    chosen = [i for n, i in enumerate(positives) if int((n + 1) * trusted) > int(n * trusted)] or positives  # spread evenly, so that both halves of the rest are alike
+    k, rest = len(chosen), sorted(set(range(len(got))) - set(chosen))
+    order = chosen + rest
+    y = np.array([got[i]["quality"] for i in order])
+    x = np.frombuffer(b"".join(got[i]["x"] for i in order), np.float32).reshape(len(y), WIDTH)
+    del got
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z = _centred(x, mean, scale)
-    p, u = z[first], z[~first]
+    del x
+    p, u = z[:k], z[k:]
     if not len(p) or not len(u):
         return Model(mean, scale, np.zeros(WIDTH + 1), 1.0, 0.0, 0.5)
     a, b = len(p) // 2, len(u) // 2  # one half of each trains the probe, the other shows the prior
