@@ -32,10 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows a file of a table whose size is known.
+ROWS_A_FILE = 500_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes rows as a table in the shared folder and reads it back: later steps see one and
-    the same version of them, whatever executors are lost, and nothing is computed twice."""
+    the same version of them, whatever executors are lost, and nothing is computed twice.
+    ``rows``, a bound of how many there are, keeps a small table from falling into many files."""
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

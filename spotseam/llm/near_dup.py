@@ -163,14 +163,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     hubs = cut(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "hubs")
     members = cut(buckets.join(hubs.hint("merge"), "key").select("key", "node", "hub", "members"), "members")
-    pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    check = lambda p: _verified(p, nodes, src, similar, k, counted)
-    links = cut(check(pairs), "links")
-    roots = components(links)
+    pairs = cut(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    texts = _texts(pairs, nodes, src, k, counted)
+    # In a large group one hub links most members; the others are asked only where that leaves two components.
+    links, todo, roots = None, pairs, None
+    for choose in (F.min, F.max, None):
+        n = todo.count()
+        now = todo if choose is None else cut(todo.groupBy("a").agg(choose("b").alias("b")), "pairs-now", n)
+        found = cut(_verified(now, texts, similar, k, counted), "links")
+        links = found if links is None else cut(links.unionByName(found), "links", links.count() + n)
+        roots = components(links)
+        if choose is None:
+            break
+        todo = cut(_apart(cut(todo.join(now.hint("merge"), ["a", "b"], "left_anti"), "pairs-left", n), roots, n), "pairs-left", n)
+        if todo.isEmpty():
+            break
 
     rest = cut(_across(members, nodes, roots, similar, bands * rows).distinct(), "pairs-across")
     if not rest.isEmpty():
-        more = cut(check(rest), "links")
+        more = cut(_verified(rest, texts, similar, k, counted), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
@@ -181,9 +192,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame, similar: float, k: int, counted: bool) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar."""
-    pairs = cut(pairs, "pairs")
+def _apart(pairs: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """Those of the pairs whose nodes are in different components."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).hint("merge")
+    left = cut(pairs.join(of("a"), "a", "left"), "pairs-left", n).join(of("b"), "b", "left")
+    return left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _texts(pairs: DataFrame, nodes: DataFrame, src: DataFrame, k: int, counted: bool) -> DataFrame:
+    """(node, text) of all nodes in pairs, each fetched once."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id").hint("merge"), "node"), "wanted")
     d, w = src.alias("d"), wanted.alias("w")
     texts = d.join(w.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
@@ -198,7 +215,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame, similar: float
                 good = [elements.name(x, None if weight is None else weight[i]) == n for i, (x, n) in enumerate(zip(e, names[part]))]
                 yield b.slice(part.start, part.stop - part.start).filter(pa.array(good, pa.bool_()))
 
-    texts = cut(texts.mapInArrow(own, "node binary, text string"), "texts").select("node", "text")
+    return cut(texts.mapInArrow(own, "node binary, text string"), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float, k: int, counted: bool) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are similar."""
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb")
 
