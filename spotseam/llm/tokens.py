@@ -27,12 +27,12 @@ _JOIN = 256
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``max_words`` bounds the cache (about 150 bytes a word); when it is full it
+    ``max_words`` bounds the cache (about 350 bytes a word, its pre-tokens included); when it is full it
     starts afresh, which costs time and never changes an id.  Strings such as
     ``<|endoftext|>`` in a text are ordinary text.  A null text has no ids.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._lib = Tokenizer.from_file(path)

@@ -30,7 +30,7 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word; a bounded cache that starts afresh when full. Words that ``normal`` empties have hash 0."""
 
-    def __init__(self, normal: Callable[[str], str] | None = None, limit: int = 1_000_000):
+    def __init__(self, normal: Callable[[str], str] | None = None, limit: int = 300_000):
         super().__init__()
         self.normal, self.limit = normal, limit
 
