@@ -160,12 +160,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.record_batch([b.column("doc_id").take(row), b.column("th").take(row), sign(prefix.of(p, anchor, 0)), sign(f[0]), sign(f[1]), pa.array((real << 20) | ((hi - lo) << 10) | (p - lo))], ["doc_id", "th", "g", "f1", "f2", "place"])
 
     nodes = cut(src.mapInArrow(scan, f"doc_id {kind}, th long, g long, f1 long, f2 long, place long"), "nodes")
-    names = cut(nodes.groupBy("g", "f1", "f2").agg(F.count("*").alias("n"), F.min("th").alias("rep")), "names")
+    names = cut(nodes.groupBy("g", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "th", "place")).alias("rep")), "names")
     many = cut(names.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "anchors")
     ends = names.join(many.withColumn("open", F.lit(True)).hint("merge"), "g", "left").select("f1", "f2", "n", "rep", F.coalesce("open", F.lit(False)).alias("open"))
     ends = cut(ends.filter("n > 1 or open"), "names-open")
     told = nodes.select("doc_id", "th", "f1", "f2", "place").join(ends.hint("merge"), ["f1", "f2"])
-    told = told.filter("n > 1 or open").select("doc_id", "th", "place", (F.col("n") > 1).alias("gone"), (F.col("open") & ((F.col("n") == 1) | (F.col("rep") == F.col("th")))).alias("look"))
+    told = told.filter("n > 1 or open").select("doc_id", "th", "place", (F.col("n") > 1).alias("gone"), (F.col("open") & ((F.col("n") == 1) | (F.col("rep") == F.xxhash64("doc_id", "th", "place")))).alias("look"))
     per_doc = told.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "gone", "look")).alias("told"))
     per_doc = cut(per_doc, "told")
 
