@@ -3,8 +3,8 @@
 A mask keeps some positions of a span of words and ignores the others, so texts
 that differ at an ignored position still meet.  The hashes of all items under all
 masks are joined with those of all documents; around each hit the item is laid
-over the document, and the stretch with the best score, one for an equal word and
-minus three for a substituted one, is reported if it is long enough.
+over the document, and of the stretches with at most one substitution in four words
+the one with the most equal words is reported if these are enough.
 """
 
 from __future__ import annotations
@@ -86,14 +86,18 @@ class Index:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(first word in the document, words, equal words) of the best stretch on a diagonal."""
+    """(first word in the document, words, equal words) of the stretch on a diagonal with the most equal words, of those with at most a quarter substituted; on ties the first."""
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
     same = doc[lo:hi] == item[lo - diagonal : hi - diagonal]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return lo + start, end - start, int(same[start:end].sum())
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])  # doesn't fall over a stretch with a quarter substituted and less
+    equal = np.concatenate([[0], np.cumsum(same)])
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)  # the earliest for each end
+    end = int(np.argmax(equal - equal[starts]))
+    start = int(starts[end])
+    if equal[end] == equal[start]:
+        return lo + start, 0, 0
+    start += int(np.argmax(same[start:]))
+    return lo + start, end - start, int(equal[end] - equal[start])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -228,6 +228,36 @@ def test_decontamination_brute_force(spark, sf):
     assert "_salt" in kept.columns
 
 
+def brute_stretch(v, w, g):
+    """(first word, words, equal words) on a diagonal by the documented rule alone: all stretches that begin with an equal word tried."""
+    lo, hi = max(0, g), min(len(v), g + len(w))
+    best = (0, 0, 0)
+    for i in (i for i in range(lo, hi) if v[i] == w[i - g]):
+        for j in range(i + 1, hi + 1):
+            same = sum(v[k] == w[k - g] for k in range(i, j))
+            if 4 * (j - i - same) <= j - i and (same, -i, i - j) > best:
+                best = (same, -i, i - j)
+    return -best[1], -best[2], best[0]
+
+
+def test_overlap_is_the_documented_rule(spark):
+    rng = random.Random(6)
+    for _ in range(300):
+        w = list(range(rng.randint(1, 24)))
+        v = [x if rng.random() < 0.75 else -1 for x in w]
+        v, g = rng.choice([(v, 0), ([-2] * 3 + v, 3), (v[4:], -4)])
+        got, want = decontam.overlap(np.array(v), np.array(w), g), brute_stretch(v, w, g)
+        assert got == want if want[2] else got[1:] == (0, 0)
+    item = [f"w{i}" for i in range(20)]
+    swapped = lambda n, *at: " ".join(f"s{i}" if i in at else item[i] for i in range(n))
+    rows = [(1, "before " + swapped(15, 11) + " after"), (2, swapped(20, 3, 7, 15, 17)), (3, swapped(15, 2, 6, 9, 12))]
+    items = spark.createDataFrame([(15, " ".join(item[:15])), (20, " ".join(item))], "item_id long, text string")
+    got = decontam.decontaminate(spark.createDataFrame(rows, DOCS), items).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 15, 1, 15, 14), (1, 20, 1, 15, 14), (2, 15, 0, 15, 13), (2, 20, 0, 20, 16)]
+    kept = decontam.without_contaminated(spark.createDataFrame(rows, DOCS), items)
+    assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert repeats.remove_repeats(none).count() == 0
