@@ -38,6 +38,26 @@ def by_episode(df: DataFrame, name: Column) -> DataFrame:
     return df.withColumns({"prefix": a, "season": b, "episode": c}).orderBy("prefix", "season", "episode")
 
 
+def numbered(df: DataFrame, *keys: str, parts: int = 32) -> DataFrame:
+    """``df`` with ``pos``, the place of each row in the order of ``keys`` from 1, nulls first.
+
+    No task sorts more than a range of the rows: bounds from a sample of the keys, chosen by their hash, deal the rows, and the counts of
+    the ranges before are added to a row's place in its own. Rows of equal keys take any order among themselves, and share a range.
+    """
+    known = df.filter(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys)
+    sample = known.orderBy(F.xxhash64(*keys), *keys).limit(parts * 100).orderBy(*keys).collect()
+    types = [df.schema[k].dataType for k in keys]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, r, types)]) for r in sample[100::100]]
+    part = F.size(F.filter(F.array(*bounds), lambda x: x <= F.struct(*keys))) if bounds else F.lit(0)
+    dealt, before, total = df.withColumn("_part", part), {}, 0
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        before[r["_part"]], total = total, total + r["count"]
+    offset = F.lit(0).cast("bigint")
+    for n, rows in before.items():
+        offset = F.when(F.col("_part") == n, F.lit(rows).cast("bigint")).otherwise(offset)
+    return dealt.withColumn("pos", F.row_number().over(W.partitionBy("_part").orderBy(*keys)) + offset).drop("_part")
+
+
 def shows_report(shows: DataFrame, edl: DataFrame) -> DataFrame:
     """(show, det_breaks, line): breaks of each show, 0 for shows without any."""
     n = edl.groupBy("show").agg(F.count("*").alias("n"))

@@ -577,13 +577,27 @@ def breaks_report(spark, sf_dir):
     return report.breaks_report(_edl(spark, sf_dir))
 
 
+EPISODE_ORDER_SQL = """SELECT name, row_number() OVER (ORDER BY prefix, season, episode, name) AS pos FROM (SELECT 'Part ' || (p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN ' special ' || p_partkey ELSE ' s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END AS name,
+    CASE WHEN p_partkey % 4 = 0 THEN 'Part ' || (p_size % 3) || ' special ' || p_partkey ELSE 'Part ' || (p_size % 3) || ' ' END AS prefix, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_size % 8 END AS season, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_partkey % 10 END AS episode FROM part)"""
+
+
+def _episodes(p: DataFrame) -> DataFrame:
+    """Names of parts as of episodes, with their sort keys."""
+    s, k = (F.col("p_size") % 3).cast("string"), F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Part "), s, F.lit(" special "), k)).otherwise(F.concat(F.lit("Part "), s, F.lit(" s0"), (F.col("p_size") % 8).cast("string"), F.lit("E0"), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), k))
+    return report.by_episode(p.select(name.alias("name")), F.col("name"))
+
+
+@query(EPISODE_ORDER_SQL)
+def episode_order(spark, sf_dir):
+    """All parts; ``episode_sort`` has two sizes of them."""
+    return report.numbered(_episodes(views.table(spark, sf_dir, "part")), "prefix", "season", "episode", "name").select("name", "pos")
+
+
 @query("""SELECT name, row_number() OVER (ORDER BY prefix, season, episode, name) AS pos FROM (SELECT 'Part ' || (p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN ' special ' || p_partkey ELSE ' s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END AS name,
     CASE WHEN p_partkey % 4 = 0 THEN 'Part ' || (p_size % 3) || ' special ' || p_partkey ELSE 'Part ' || (p_size % 3) || ' ' END AS prefix, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_size % 8 END AS season, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_partkey % 10 END AS episode FROM part WHERE p_size = 7 OR p_size = 8)""")
 def episode_sort(spark, sf_dir):
-    p = views.table(spark, sf_dir, "part").filter("p_size in (7, 8)")
-    s, k = (F.col("p_size") % 3).cast("string"), F.col("p_partkey").cast("string")
-    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Part "), s, F.lit(" special "), k)).otherwise(F.concat(F.lit("Part "), s, F.lit(" s0"), (F.col("p_size") % 8).cast("string"), F.lit("E0"), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), k))
-    rows = report.by_episode(p.select(name.alias("name")), F.col("name"))
+    rows = _episodes(views.table(spark, sf_dir, "part").filter("p_size in (7, 8)"))
     return rows.select("name", F.row_number().over(W.orderBy("prefix", "season", "episode", "name")).cast("bigint").alias("pos"))
 
 

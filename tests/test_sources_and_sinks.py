@@ -209,6 +209,22 @@ def test_reports(spark):
     assert [r["name"] for r in report.by_episode(names, F.col("name")).collect()] == ["S S01E08", "S S01E09", "S S01E10", "a film"]
 
 
+def test_all_parts_are_sorted_and_numbered(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{sf}/part.parquet')")
+    got = sorted(map(tuple, queries.QUERIES["episode_order"](spark, sf).collect()))
+    assert len(got) == con.execute("SELECT count(*) FROM part").fetchone()[0]
+    assert got == sorted(con.execute(queries.SQL["episode_order"]).fetchall())
+    rows = spark.createDataFrame([("b", 2), ("a", 1), (None, 3), ("a", 1), ("c", None)] * 300, "k string, n int")
+    placed = report.numbered(rows, "k", "n", parts=4).orderBy("pos").collect()
+    assert [r["pos"] for r in placed] == list(range(1, 1501))
+    assert [(r["k"], r["n"]) for r in placed] == [(None, 3)] * 300 + [("a", 1)] * 600 + [("b", 2)] * 300 + [("c", None)] * 300
+    assert report.numbered(rows.limit(0), "k", "n").count() == 0
+
+
 T0 = dt.datetime(2024, 1, 1)
 
 
