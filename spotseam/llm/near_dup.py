@@ -152,7 +152,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     key_rows[i], byte_rows[i] = keys[n], small[n].tobytes()
                 names = [elements.name(e, None if w is None else w[i]) for i, e in enumerate(found)]
                 yield pa.record_batch(
-                    [b.column("doc_id")[part.start : part.stop], b.column("text_hash")[part.start : part.stop], pa.array(names, pa.binary()), pa.array([len(e) for e in found], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
+                    [b.column("doc_id")[part.start : part.stop], b.column("text_hash")[part.start : part.stop], pa.array(names, pa.binary()), pa.array([len(e) if w is None else int(w[i].sum()) for i, e in enumerate(found)], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
                     ["doc_id", "text_hash", "node", "n", "keys", "sig"],
                 )
 

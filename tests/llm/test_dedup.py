@@ -155,6 +155,24 @@ def test_near_dedup_counted(spark):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_near_dedup_counted_prunes_by_total_weight(spark):
+    """A similar pair of few and many distinct elements in one bucket, whose hub is like neither."""
+    elements = near_dup._Elements(near_dup.SHINGLE, True)
+
+    def made(text):
+        e, w = elements.of([text])
+        return near_dup.dart_signatures(e, w, 1)[0, 0], elements.name(e[0], w[0])
+
+    base = " ".join(["a"] * 104)
+    more = lambda n, i: base + "".join(f" w{i}x{j}" for j in range(n))
+    sig, name = made(base)
+    twin = next(t for t in (more(10, i) for i in range(100)) if made(t)[0] == sig)
+    hub = next(t for t in (more(100, i) for i in range(100, 2000)) if made(t)[0] == sig and made(t)[1] < min(name, made(twin)[1]))
+    rows = [(1, base), (2, twin), (3, hub)]
+    got = near_dup.near_dedup(spark.createDataFrame(rows, DOCS), bands=1, rows=1, weights="count")
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     e = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
