@@ -127,7 +127,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between lower-cased runs of ``k`` words; with ``weights="count"`` an element weighs as often as
     it occurs.  A text of fewer words is one element; texts without
     words (null ones too) are copies of one another.  Rows may repeat; a null id sorts
-    last.  Other columns are left out.
+    last.  Of each class the row with the smallest id is kept, of those the one with the smallest
+    text_hash; rows that repeat both are kept each.  Other columns are left out.
 
     Copies collapse to one node first.  In each band's buckets every member is
     compared with the first; where that leaves a bucket with several components, all
@@ -157,8 +158,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     sketches = cut(src.mapInArrow(sketch, f"doc_id {kind}, text_hash long, node binary, n long, keys array<long>, sig binary"), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     first = F.min_by(F.struct("n", "keys", "sig"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
-    nodes = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), first.alias("f")).select("node", "doc_id", "copies", "f.*"), "nodes")
+    nodes = cut(sketches.groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("copies"), first.alias("f")).select("node", "row.doc_id", "row.text_hash", "copies", "f.*"), "nodes")
 
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     hubs = cut(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "hubs")
@@ -185,11 +187,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
-    named = cut(nodes.select("node", "doc_id", "copies").join(roots.hint("merge"), "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root")), "classes")
-    sizes = cut(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "class-sizes")
-    by_node = cut(named.select("node", "root").join(sizes.hint("merge"), "root").select("node", "class_id", "class_size"), "class-of-node")
+    named = cut(nodes.select("node", "doc_id", "text_hash", "copies").join(roots.hint("merge"), "node", "left").select("node", "doc_id", "text_hash", "copies", F.coalesce("root", "node").alias("root")), "classes")
+    sizes = cut(named.groupBy("root").agg(F.min(row).alias("row"), F.sum("copies").alias("class_size")).select("root", F.col("row.doc_id").alias("class_id"), F.col("row.text_hash").alias("class_hash"), "class_size"), "class-sizes")
+    by_node = cut(named.select("node", "root").join(sizes.hint("merge"), "root").select("node", "class_id", "class_hash", "class_size"), "class-of-node")
     out = sketches.select("doc_id", "text_hash", "node").join(by_node.hint("merge"), "node")
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
+    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).alias("kept"), "text_hash")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame, n: int) -> DataFrame:

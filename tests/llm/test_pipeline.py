@@ -38,3 +38,12 @@ def test_run_and_repeated_rows(spark, sf):
     got = corpus_pipeline.exact(spark, twice, sf)
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == [("1", "a b"), ("1", "c"), ("3", "None")]
     assert got.columns == twice.columns
+
+
+def test_near_dedup_keeps_one_row_of_ids_that_repeat(spark, sf):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, words), (1, words + " x"), (2, words.upper()), (None, "a b"), (None, "A b"), (None, "A  b"), (3, "c d"), (3, "c d"), (3, "e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, df, sf).collect()]
+    assert sorted(str(d) for d, _ in kept) == ["1", "3", "3", "None"] and set(kept) <= set(rows)
+    assert {t for d, t in kept if d == 3} == {"c d", "e f"}
