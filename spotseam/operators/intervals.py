@@ -43,17 +43,22 @@ def long_enough(segments: DataFrame, min_count, fps) -> DataFrame:
     return segments.filter((F.col("end_us") - F.col("start_us")) / 1e6 >= col(min_count) / rate)
 
 
-def overlap_windows(segments: DataFrame, window_us: int, duration_us: Column | int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def overlap_windows(segments: DataFrame, window_us: Column | int, duration_us: Column | int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, i) of each grid window that a segment overlaps, once each.
 
     Half-open on both sides: a segment without length counts only strictly inside a
     window.  Segments are expanded to the windows they touch, so the cost is that of the result.
     """
-    n = F.ceil(col(duration_us) / window_us)
-    lo = F.floor(F.col("start_us") / window_us)
-    hi = F.least(F.ceil(F.col("end_us") / window_us) - 1, n - 1)
-    real = segments.withColumns({"_lo": lo, "_hi": hi}).filter((F.col("start_us") < col(duration_us)) & (F.col("_hi") >= F.col("_lo")))
-    return real.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("i")).distinct()
+    lo, hi = window_range(window_us, duration_us)
+    return segments.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("i")).distinct()
+
+
+def window_range(window_us: Column | int, duration_us: Column | int) -> tuple[Column, Column]:
+    """The first and the last window that a segment overlaps; the last one lies before the first where there is none."""
+    n = F.ceil(col(duration_us) / col(window_us))
+    lo = F.floor(F.col("start_us") / col(window_us))
+    hi = F.least(F.ceil(F.col("end_us") / col(window_us)) - 1, n - 1)
+    return lo, F.when(F.col("start_us") < col(duration_us), hi).otherwise(-1).cast("bigint")
 
 
 def grid(recordings: DataFrame, window_us: int) -> DataFrame:
@@ -66,8 +71,19 @@ def grid(recordings: DataFrame, window_us: int) -> DataFrame:
 def region_rates(regions: DataFrame, events: DataFrame, learn_s) -> DataFrame:
     """(rec_id, source, rate): events a second of each region in the learning window; 0 for silent ones."""
     n = events.groupBy("rec_id", "source").agg(F.count("*").alias("n"))
-    rate = F.when(col(learn_s) > 0, F.coalesce("n", F.lit(0)) / col(learn_s)).otherwise(0.0)
-    return regions.select("rec_id", "source").distinct().join(n, ["rec_id", "source"], "left").select("rec_id", "source", rate.alias("rate"))
+    rate = F.when(F.col("_learn") > 0, F.coalesce("n", F.lit(0)) / F.col("_learn")).otherwise(0.0)
+    return regions.select("rec_id", "source", col(learn_s).cast("double").alias("_learn")).distinct().join(n, ["rec_id", "source"], "left").select("rec_id", "source", rate.alias("rate"))
+
+
+#: The four corners, the two bands, and the rate above which a band tells of a crawl.
+CORNERS = ("top-left", "top-right", "bottom-left", "bottom-right")
+BANDS = ("top-band", "bottom-band")
+BAND_LIMIT = 1.5
+
+
+def band_warnings(rates: DataFrame) -> DataFrame:
+    """Bands so busy that a news or weather crawl is likely."""
+    return rates.filter(F.col("source").isin(*BANDS) & (F.col("rate") > BAND_LIMIT))
 
 
 def without_tickers(rates: DataFrame, limit) -> DataFrame:
@@ -105,11 +121,11 @@ def absent_share(segments: DataFrame, recordings: DataFrame, limit: float = 0.85
 
 
 def learn_window(recordings: DataFrame, learn_start_s, skip_start_s, learn_s, reference_s) -> DataFrame:
-    """(rec_id, learn_start_s, learn_s, reference_s); negative settings mean the skip start and the middle."""
+    """(rec_id, learn_start_s, learn_s, reference_s); negative settings mean the skip start and the middle of the learning window."""
     d = F.col("duration_us") / 1e6
     begin = F.least(F.when(col(learn_start_s) >= 0, col(learn_start_s)).otherwise(col(skip_start_s)).cast("double"), d / 2)
     span = F.least(col(learn_s).cast("double"), d - begin)
-    ref = F.when(col(reference_s) >= 0, col(reference_s).cast("double")).otherwise(d / 2)
+    ref = F.when(col(reference_s) >= 0, col(reference_s).cast("double")).otherwise(begin + span / 2)
     return recordings.select("rec_id", begin.alias("learn_start_s"), span.alias("learn_s"), ref.alias("reference_s"))
 
 
@@ -118,4 +134,4 @@ def corners(size: float, x_inset: float, y_inset: float) -> list[tuple[str, str]
     f = lambda v: f"{v:.4f}"
     left, top, right, bottom = f"iw*{f(x_inset)}", f"ih*{f(y_inset)}", f"iw*{f(1 - size - x_inset)}", f"ih*{f(1 - size - y_inset)}"
     wide = f"crop=iw*{f(size)}:ih*{f(size)}"
-    return [(n, f"{wide}:{x}:{y}") for n, x, y in (("TopLeft", left, top), ("TopRight", right, top), ("BottomLeft", left, bottom), ("BottomRight", right, bottom))]
+    return [(n, f"{wide}:{x}:{y}") for n, x, y in zip(CORNERS, (left, right, left, right), (top, top, bottom, bottom))]

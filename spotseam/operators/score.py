@@ -20,43 +20,26 @@ def active_weights(present: DataFrame) -> DataFrame:
     return present.groupBy("rec_id").agg(F.when(s > 0, s).otherwise(1.0).alias("total"))
 
 
-def window_scores(hits: DataFrame, present: DataFrame, inverted: tuple[str, ...] = (), cells: DataFrame | None = None) -> DataFrame:
-    """(rec_id, i, p): the share of the active weight whose signals hit the window.
-
-    ``hits`` are (rec_id, signal, i), score 1.  An inverted signal scores in the windows
-    it doesn't hit, which needs the grid in ``cells``.
-    """
-    hits = hits.select("rec_id", "signal", "i")
-    if inverted:
-        flip = present.filter(F.col("signal").isin(*inverted)).select("rec_id", "signal").join(cells.select("rec_id", "i"), "rec_id")
-        hits = hits.filter(~F.col("signal").isin(*inverted)).unionByName(flip.join(hits, ["rec_id", "signal", "i"], "left_anti"))
-    weighted = hits.join(present, ["rec_id", "signal"]).groupBy("rec_id", "i").agg(F.sum("weight").alias("w"))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w") / F.col("total")))
-    return weighted.join(active_weights(present), "rec_id").select("rec_id", "i", p.alias("p"))
-
-
-def score_map(segments: DataFrame, present: DataFrame) -> DataFrame:
+def score_map(segments: DataFrame) -> DataFrame:
     """(rec_id, i, signal_scores): the scores of a window by signal."""
     return segments.groupBy("rec_id", "i").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("signal", F.lit(1.0).alias("score"))))).alias("signal_scores"))
 
 
-def on_grid(cells: DataFrame, scores: DataFrame) -> DataFrame:
-    return cells.join(scores, ["rec_id", "i"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+#: Window numbers times this, divided by the radius: two windows are within the radius exactly if these differ by no more than it.
+_STEPS = 1 << 20
 
 
-def smooth(windows: DataFrame, radius: int | str, radii: tuple[int, ...] = ()) -> DataFrame:
-    """Centred moving average of the original scores over 2r+1 windows, fewer at the edges.
+def smooth(windows: DataFrame, radius) -> DataFrame:
+    """Centred moving average of the original scores over 2r+1 windows, fewer at the edges; none for a radius of 0 and below.
 
-    ``radius`` may name a column; ``radii`` then lists its values, one frame each.
+    The radius may be a column, one value a recording: one range frame then serves all of them.
     """
-    by = W.partitionBy("rec_id").orderBy("i")
-    mean = lambda r: F.avg("p").over(by.rowsBetween(-r, r)) if r > 0 else F.col("p")
+    by = W.partitionBy("rec_id")
     if isinstance(radius, int):
-        return windows.withColumn("p", mean(radius))
-    out = F.col("p")
-    for r in radii:
-        out = F.when(F.col(radius) == r, mean(r)).otherwise(out)
-    return windows.withColumn("p", out)
+        return windows.withColumn("p", F.avg("p").over(by.orderBy("i").rowsBetween(-radius, radius))) if radius > 0 else windows
+    scaled = F.floor(F.col("i") * _STEPS / F.greatest(col(radius), F.lit(1)))
+    mean = F.avg("p").over(by.orderBy("_scaled").rangeBetween(-_STEPS, _STEPS))
+    return windows.withColumn("_scaled", scaled).withColumn("p", F.when(col(radius) > 0, mean).otherwise(F.col("p"))).drop("_scaled")
 
 
 def classify(windows: DataFrame, threshold) -> DataFrame:

@@ -6,6 +6,8 @@ windows here partition by ``rec_id`` alone, so one shuffle serves the whole chai
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,13 +30,13 @@ def folded(parts: Column) -> Column:
     return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), lambda a, x: (a + x) / 2)
 
 
-def islands(windows: DataFrame) -> DataFrame:
-    """One segment per run of one class, its confidence the mean score."""
+def islands(windows: DataFrame, *kept: str) -> DataFrame:
+    """One segment per run of one class, its confidence the mean score; ``kept`` columns have one value a recording."""
     w = W.partitionBy("rec_id").orderBy("i")
     new = F.when(F.col("classification") == F.lag("classification").over(w), 0).otherwise(1)
     runs = windows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.groupBy("rec_id", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max(F.col("classification") == COMMERCIAL).alias("_c"), F.avg("p").alias("confidence"))
-    return out.select("rec_id", "start_us", "end_us", F.when(F.col("_c"), COMMERCIAL).otherwise(PROGRAM).alias("type"), "confidence")
+    out = runs.groupBy("rec_id", "_run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max(F.col("classification") == COMMERCIAL).alias("_c"), F.avg("p").alias("confidence"), *[F.max(c).alias(c) for c in kept])
+    return out.select("rec_id", "start_us", "end_us", F.when(F.col("_c"), COMMERCIAL).otherwise(PROGRAM).alias("type"), "confidence", *kept)
 
 
 def with_frames(segments: DataFrame, fps) -> DataFrame:
@@ -58,14 +60,14 @@ def strip_end(segments: DataFrame, skip_s, duration_us) -> DataFrame:
     return segments.withColumns({"end_us": F.when(late & ~whole, limit.cast("bigint")).otherwise(F.col("end_us")), "type": F.when(whole, PROGRAM).otherwise(F.col("type"))})
 
 
-def _merge(marked: DataFrame) -> DataFrame:
-    """One segment per ``_run``; rows with ``_skip`` give their end, not their confidence."""
+def _merge(marked: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """One segment per ``_run``; rows with ``_skip`` give their end, not their confidence; ``kept`` columns have one value a recording."""
     own = F.sort_array(F.collect_list(F.when(~F.col("_skip"), F.struct("start_us", "confidence"))))
-    out = marked.groupBy("rec_id", "_run").agg(F.min("start_us").alias("s"), F.max_by("end_us", "start_us").alias("e"), F.min_by("type", "start_us").alias("type"), own.alias("c"), F.min_by("start_frame", "start_us").alias("sf"), F.max_by("end_frame", "start_us").alias("ef"))
-    return out.select("rec_id", F.col("s").alias("start_us"), F.col("e").alias("end_us"), "type", folded(F.transform("c", lambda x: x["confidence"])).alias("confidence"), F.col("sf").alias("start_frame"), F.col("ef").alias("end_frame"))
+    out = marked.groupBy("rec_id", "_run").agg(F.min("start_us").alias("s"), F.max_by("end_us", "start_us").alias("e"), F.min_by("type", "start_us").alias("type"), own.alias("c"), F.min_by("start_frame", "start_us").alias("sf"), F.max_by("end_frame", "start_us").alias("ef"), *[F.max(c).alias(c) for c in kept])
+    return out.select("rec_id", F.col("s").alias("start_us"), F.col("e").alias("end_us"), "type", folded(F.transform("c", lambda x: x["confidence"])).alias("confidence"), F.col("sf").alias("start_frame"), F.col("ef").alias("end_frame"), *kept)
 
 
-def bridge_gaps(segments: DataFrame, gap_s) -> DataFrame:
+def bridge_gaps(segments: DataFrame, gap_s, kept: Sequence[str] = ()) -> DataFrame:
     """Commercials with no more than ``gap_s`` of programme between them become one; 0 turns it off.
 
     Whether a gap closes depends on its own length and its two neighbours only, so one
@@ -75,7 +77,7 @@ def bridge_gaps(segments: DataFrame, gap_s) -> DataFrame:
     closed = F.coalesce(between & (col(gap_s) > 0) & (F.col("end_us") - F.col("start_us") <= col(gap_s) * 1_000_000), F.lit(False))
     marked = segments.withColumn("_skip", closed)
     new = F.when(F.col("_skip") | F.coalesce(F.lag("_skip").over(_in_order()), F.lit(False)), 0).otherwise(1)
-    return _merge(marked.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_so_far())))
+    return _merge(marked.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_so_far())), kept)
 
 
 def limit_duration(segments: DataFrame, min_s, max_s) -> DataFrame:
@@ -85,10 +87,10 @@ def limit_duration(segments: DataFrame, min_s, max_s) -> DataFrame:
     return segments.withColumn("type", F.when(out, PROGRAM).otherwise(F.col("type")))
 
 
-def merge_adjacent(segments: DataFrame) -> DataFrame:
+def merge_adjacent(segments: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Neighbours of one type become one segment."""
     new = F.when(F.col("type") == F.lag("type").over(_in_order()), 0).otherwise(1)
-    return _merge(segments.withColumns({"_skip": F.lit(False), "_new": new}).withColumn("_run", F.sum("_new").over(_so_far())))
+    return _merge(segments.withColumns({"_skip": F.lit(False), "_new": new}).withColumn("_run", F.sum("_new").over(_so_far())), kept)
 
 
 def recheck_skips(segments: DataFrame, skip_start_s, skip_end_s, duration_us) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import basename, fraction, number
+from ..functions.scalars import basename, col, fraction, number
 
 _STREAM = "codec_type STRING, codec_name STRING, width STRING, height STRING, avg_frame_rate STRING, r_frame_rate STRING, duration STRING, sample_rate STRING, channels STRING"
 PROBE = f"streams ARRAY<STRUCT<{_STREAM.replace(' STRING', ': STRING')}>>, format STRUCT<duration: STRING>"
@@ -76,11 +76,16 @@ def elapsed_skips(elapsed_us: Column, prog_len_us: Column, duration_us: Column)
     return start, F.greatest(F.lit(0.0), (duration_us - prog_len_us) / 1e6 - start)
 
 
-def effective_skips(recordings: DataFrame, boundaries: DataFrame, skip_start: float = 0, skip_end: float = 0) -> DataFrame:
-    """(rec_id, skip_start_s, skip_end_s) by source: settings raised by the guide's padding, then replaced by PSIP, else by XDS, if complete."""
+def effective_skips(recordings: DataFrame, boundaries: DataFrame, skip_start=0, skip_end=0, psip=True, xds=True) -> DataFrame:
+    """(rec_id, skip_start_s, skip_end_s) by source: settings raised by the guide's padding, then replaced by PSIP, else by XDS, if complete.
+
+    The settings, and whether PSIP and XDS count at all, may be columns of ``recordings``.
+    """
     by = boundaries.groupBy("rec_id").pivot("source", ["epg", "psip", "xds"]).agg(F.first(F.struct("skip_start_s", "skip_end_s")))
-    pick = lambda f, base: F.coalesce(F.col(f"psip.{f}"), F.col(f"xds.{f}"), F.greatest(F.lit(float(base)), F.coalesce(F.col(f"epg.{f}"), F.lit(0.0))))
-    return recordings.select("rec_id").join(by, "rec_id", "left").select("rec_id", pick("skip_start_s", skip_start).alias("skip_start_s"), pick("skip_end_s", skip_end).alias("skip_end_s"))
+    by = by.withColumnsRenamed({s: f"_{s}" for s in ("epg", "psip", "xds")})
+    own = lambda f, on: F.when(col(on), F.col(f))
+    pick = lambda f, base: F.coalesce(own(f"_psip.{f}", psip), own(f"_xds.{f}", xds), F.greatest(col(base).cast("double"), F.coalesce(F.col(f"_epg.{f}"), F.lit(0.0))))
+    return recordings.join(by, "rec_id", "left").select("rec_id", pick("skip_start_s", skip_start).alias("skip_start_s"), pick("skip_end_s", skip_end).alias("skip_end_s"))
 
 
 def server_paths(df: DataFrame, xml_col: str = "xml") -> DataFrame:
