@@ -13,10 +13,9 @@ BREAKS_HEADER = "Show,Break,Det_Start,Det_End,Actual_Start,Actual_End,Notes"
 
 
 def latest_runs(entries: DataFrame) -> DataFrame:
-    """(show, run_ts, path): the latest run of each show; the path that sorts first on ties."""
-    best = F.max(F.struct("run_ts")).alias("x")
-    top = entries.groupBy("show").agg(best).select("show", F.col("x.run_ts").alias("run_ts"))
-    return entries.join(top, ["show", "run_ts"]).groupBy("show", "run_ts").agg(F.min("path").alias("path"))
+    """(show, run_ts, path): the latest run of each show; the path that sorts first on ties, and for lists without a run."""
+    runs = entries.groupBy("show", "run_ts").agg(F.min("path").alias("path"))
+    return runs.groupBy("show").agg(F.max(F.struct("run_ts", "path")).alias("x")).select("show", "x.run_ts", "x.path")
 
 
 def named(entries: DataFrame, text: str) -> DataFrame:

@@ -88,7 +88,7 @@ def read_psip(data: bytes, limit: int = PSIP_SCAN) -> tuple[int | None, int | No
     """(recording start, programme start, length, title): the first time table, and the first listing that runs then."""
     now, leap = None, 0
     for s in sections((fresh, body) for pid, fresh, body in packets(data, limit) if pid == PSIP_PID):
-        if s[0] == STT and len(s) >= 9:
+        if s[0] == STT and now is None and len(s) >= 9:
             leap = s[8]
             now = int.from_bytes(s[4:8], "big") - leap + GPS_EPOCH
         elif s[0] == EIT and now is not None:

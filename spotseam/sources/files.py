@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, extension, glob_regex, stem, with_extension
 
-#: Extensions of recordings, and the extension of each output format.
-MEDIA = (".ts", ".mpg", ".mpeg", ".mkv", ".mp4", ".avi", ".wtv", ".m2ts", ".mts")
+#: Extensions of recordings, of those that are watched for, of those that a batch takes, and of each output format.
+MEDIA = (".ts", ".mpg", ".mpeg", ".mp4", ".mkv", ".avi", ".wtv", ".m4v", ".mov")
+WATCHED = (".ts", ".mpg", ".mpeg", ".mp4", ".mkv")
+BATCH = (".ts", ".mpg", ".mpeg", ".mp4", ".mkv", ".avi", ".wtv", ".m4v")
 FORMATS = {"Edl": ".edl", "ComskipTxt": ".txt", "MkvChapters": ".chapters.xml", "Json": ".breaks.json", "FFMetadata": ".ffmeta"}
 DONE_MARK = "FILE PROCESSING COMPLETE"
 
@@ -38,14 +40,22 @@ def candidates(files: DataFrame, patterns: list[str] = (), min_bytes: int = 0, e
 def unprocessed(files: DataFrame, outputs: DataFrame, formats: list[str] = ("Edl",)) -> DataFrame:
     """Files without any output of the formats, an edit list, or a finished text mark beside them.
 
-    ``outputs`` is (path) of what lies there; for ``.txt`` files also first_line.
+    ``outputs`` is (path) of what lies there; for ``.txt`` files also first_line, which must tell of the
+    mark unless text is one of the formats.
     """
-    made = outputs.filter(~F.endswith(F.lower("path"), F.lit(".txt")) | F.contains(F.coalesce("first_line", F.lit("")), F.lit(DONE_MARK))).select(F.col("path").alias("_out")).distinct()
+    finished = F.lit("ComskipTxt" in formats) | ~F.endswith(F.lower("path"), F.lit(".txt")) | F.contains(F.coalesce("first_line", F.lit("")), F.lit(DONE_MARK))
+    made = outputs.filter(finished).select(F.col("path").alias("_out")).distinct()
     wanted = sorted({FORMATS[f] for f in formats} | {".edl", ".txt"})
     hoped = files.select("path", F.explode(F.array(*[with_extension(F.col("path"), e) for e in wanted])).alias("_out"))
     return files.join(hoped.join(made, "_out").select("path").distinct(), "path", "left_anti")
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first_line) of text files; each is read by its own task."""
+    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path)
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r")).alias("first_line"))
+
+
 def stale(files: DataFrame, now: Column, days: int) -> DataFrame:
     """Files last written before so many days ago; a report, nothing is deleted."""
     return files.filter(F.col("modified") < now - F.make_interval(days=F.lit(days)))
@@ -58,6 +68,12 @@ def archive_entries(files: DataFrame) -> DataFrame:
     return lists.select("path", F.expr("substring(_name, 1, length(_name) - 16)").alias("show"), F.expr("substring(_name, -15)").alias("run_ts"))
 
 
+def alongside_entries(files: DataFrame) -> DataFrame:
+    """(path, show, run_ts) of edit lists that lie beside their recordings: the show is the name, and there is no run."""
+    lists = files.filter(F.endswith("path", F.lit(".edl")))
+    return lists.select("path", stem(F.col("path")).alias("show"), F.lit(None).cast("string").alias("run_ts"))
+
+
 def edl_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """(…, start_s, end_s, action) of the lines that begin with a digit."""
     parts = F.split(F.trim(line_col), r"\s+")

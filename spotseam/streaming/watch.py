@@ -14,11 +14,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
 from ..operators.intervals import KEYS
-from ..sources.files import MEDIA, excluded, is_media
+from ..sources.files import WATCHED, candidates, excluded, is_media, unprocessed
 
 EVENTS = "path string, event string, old_path string, observed_at timestamp, size long"
-#: The server profile.
-SERVER = {"delay_s": 60, "min_bytes": 50 << 20, "extensions": (".ts", ".mpg", ".mpeg", ".mkv", ".mp4", ".avi", ".wtv")}
+#: Rest, size and extensions by default and for a server.
+DEFAULT = {"delay_s": 30, "min_bytes": 10 << 20, "extensions": WATCHED}
+SERVER = {"delay_s": 60, "min_bytes": 50 << 20, "extensions": (".ts", ".mpg", ".mpeg", ".mp4", ".mkv", ".wtv", ".m4v")}
+#: Seconds that a file which has come out is remembered, so that a later change of it doesn't bring it out again.
+REMEMBERED_S = 7 * 86_400
 
 
 def clamped(delay_s: int, jobs: int) -> tuple[int, int]:
@@ -26,7 +29,7 @@ def clamped(delay_s: int, jobs: int) -> tuple[int, int]:
     return max(5, delay_s), max(1, jobs)
 
 
-def changes(events: DataFrame, patterns: list[str] = (), extensions=MEDIA) -> DataFrame:
+def changes(events: DataFrame, patterns: list[str] = (), extensions=WATCHED) -> DataFrame:
     """(path, observed_at, size, gone): a rename takes the old path away and brings the new one."""
     moved = F.col("event") == "renamed"
     now = F.struct("path", "observed_at", "size", F.lit(False).alias("gone"))
@@ -36,24 +39,26 @@ def changes(events: DataFrame, patterns: list[str] = (), extensions=MEDIA) -> Da
     return rows.filter(is_media(F.col("path"), extensions) & ~excluded(F.col("path"), list(patterns)))
 
 
-def stable_files(events: DataFrame, delay_s: int = 30, min_bytes: int = 0, patterns: list[str] = (), extensions=MEDIA) -> DataFrame:
+def stable_files(events: DataFrame, delay_s: int = 30, min_bytes: int = 0, patterns: list[str] = (), extensions=WATCHED) -> DataFrame:
     """(path, ready_at, size) once for each file that has seen no event for the delay and is large enough.
 
     Runs on event time: the stream's watermark is the clock, so results don't depend on how batches fall.
+    A file that has come out is forgotten when it has seen no event for ``REMEMBERED_S``.
     """
-    delay_s = clamped(delay_s, 1)[0]
+    delay_s, forget_ms = clamped(delay_s, 1)[0], REMEMBERED_S * 1000
     timed = changes(events.withWatermark("observed_at", "0 seconds"), patterns, extensions)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         none = pd.DataFrame({"path": pd.Series(dtype="str"), "ready_at": pd.Series(dtype="datetime64[us]"), "size": pd.Series(dtype="int64")})
         if state.hasTimedOut:
             last, size, gone, done = state.get
-            if gone:
+            if gone or done:
                 state.remove()
                 yield none
                 return
             state.update((last, size, gone, True))
-            yield none if done or size < min_bytes else pd.DataFrame({"path": [key[0]], "ready_at": [pd.Timestamp(last + delay_s * 1_000_000, unit="us")], "size": [size]})
+            state.setTimeoutTimestamp(max(last // 1000 + forget_ms, state.getCurrentWatermarkMs() + 1))
+            yield none if size < min_bytes else pd.DataFrame({"path": [key[0]], "ready_at": [pd.Timestamp(last + delay_s * 1_000_000, unit="us")], "size": [size]})
             return
         last, size, gone, done = state.get if state.exists else (-1, 0, False, False)
         for b in batches:
@@ -63,14 +68,14 @@ def stable_files(events: DataFrame, delay_s: int = 30, min_bytes: int = 0, patte
                     last, gone = us, bool(g)
                     size = size if pd.isna(n) else int(n)
         state.update((last, size, gone, done))
-        due = last // 1000 + delay_s * 1000
+        due = last // 1000 + (forget_ms if done and not gone else delay_s * 1000)
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield none
 
     return timed.groupBy("path").applyInPandasWithState(step, "path string, ready_at timestamp, size long", "last long, size long, gone boolean, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stable_batch(events: DataFrame, delay_s: int, until: Column, min_bytes: int = 0, patterns: list[str] = (), extensions=MEDIA) -> DataFrame:
+def stable_batch(events: DataFrame, delay_s: int, until: Column, min_bytes: int = 0, patterns: list[str] = (), extensions=WATCHED) -> DataFrame:
     """The same over a finished event log: the first rest of each path that is long enough by ``until``."""
     delay_us = clamped(delay_s, 1)[0] * 1_000_000
     w = W.partitionBy("path").orderBy("us")
@@ -88,20 +93,30 @@ def stream_clusters(events: DataFrame, gap_s: int, min_us: int, min_events: int,
     return out.filter((F.col("n_events") >= min_events) & (F.col("end_us") - F.col("start_us") >= min_us)).select(*KEYS, "start_us", "end_us", "n_events")
 
 
+def backfill(files: DataFrame, outputs: DataFrame, formats: list[str] = ("Edl",), min_bytes: int = DEFAULT["min_bytes"], patterns: list[str] = (), extensions=WATCHED) -> DataFrame:
+    """(path, ready_at, size) of files that lie there already and have no output yet, as ``stable_files`` would give them.
+
+    ``files`` is a listing (path, length, modified); hand the result to ``process_batch`` before the stream starts.
+    """
+    wanted = unprocessed(candidates(files, patterns, min_bytes, extensions), outputs, formats)
+    return wanted.select("path", F.col("modified").alias("ready_at"), F.col("length").alias("size"))
+
+
+def process_batch(batch: DataFrame, process, ledger: str) -> None:
+    """Hands files not in the ledger to ``process(batch) -> DataFrame (path, ok)`` and records the outcome."""
+    spark = batch.sparkSession
+    try:
+        done = spark.read.parquet(ledger).select("path")
+    except Exception as e:  # the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = spark.createDataFrame([], "path string")
+    process(batch.dropDuplicates(["path"]).join(done, "path", "left_anti")).select("path", "ok").write.mode("append").parquet(ledger)
+
+
 def process_new(stable: DataFrame, process, ledger: str, checkpoint: str):
-    """Starts a query that hands each batch of files not in the ledger to ``process(batch) -> DataFrame (path, ok)`` and records the outcome.
+    """Starts a query that processes each batch.
 
     A batch that runs again finds its own rows in the ledger, so a file counts once.
     """
-    spark = stable.sparkSession
-
-    def each(batch: DataFrame, _: int) -> None:
-        try:
-            done = spark.read.parquet(ledger).select("path")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], "path string")
-        process(batch.dropDuplicates(["path"]).join(done, "path", "left_anti")).select("path", "ok").write.mode("append").parquet(ledger)
-
-    return stable.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stable.writeStream.foreachBatch(lambda batch, _: process_batch(batch, process, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
