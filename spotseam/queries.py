@@ -12,16 +12,16 @@ from pyspark.sql.window import Window as W
 from .functions import scalars as x
 from .operators import intervals, score, segments
 from .plans import cutplan, detect, report, views
-from .plans.detect import Params
 from .sinks import render
 from .sources import broadcast, documents, files, logs, settings
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The same SQL before its table expressions are put before it, for use in other queries.
+_TEXT: dict[str, str] = {}
 SQL: dict[str, str] = {}
 
-FLAGSHIP = Params(merge_gap=20, skip_start=90, skip_end=60)
 GAP, LONG, LEAST = 220_000_000, 60_000_000, 2
 TODAY = datetime.date(2024, 6, 1)
 
@@ -30,6 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
+            _TEXT[f.__name__] = sql
             SQL[f.__name__] = _full(sql)
         return f
 
@@ -46,26 +47,64 @@ CTES: dict[str, str] = {
     "runs": """SELECT *, sum(f) OVER (PARTITION BY rec_id, signal ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM marked""",
     "clu": """SELECT rec_id, signal, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS n_events FROM runs GROUP BY rec_id, signal, run
         HAVING count(*) >= 2 AND max(t_us) - min(t_us) >= 60000000""",
-    "segs": """SELECT rec_id, signal, start_us, end_us FROM clu WHERE signal IN ('BlackFrame', 'SceneChange', 'LogoAbsence')
-        UNION ALL SELECT rec_id, signal, t_us, t_us + len_us FROM ev WHERE signal = 'Silence'""",
-    "cells": """SELECT rec_id, i, i * 2000000 AS start_us, (i + 1) * 2000000 AS end_us FROM recs, generate_series(0, 1799) g(i)""",
+    # One row a profile, the settings as the base file and the profile's own give them; what neither sets is the default.
+    "prof": """SELECT * FROM (VALUES
+        (0, 2000000, 0.38::DOUBLE, 3, 20000000, 90000000, 60000000, 0.60::DOUBLE, true, 220000000, 60000000, 2, 0.05::DOUBLE, false, 0.15::DOUBLE, true, 0.40::DOUBLE, -1.0::DOUBLE, 420000000, 2, 1.5::DOUBLE, false, 0.50::DOUBLE, 5000000, true, true),
+        (1, 2000000, 0.45, 0, 215000000, 90000000, 60000000, 0.55, true, 180000000, 1000000, 1, 0.15, false, 0.20, false, 0.0, -1.0, 420000000, 2, 1.5, false, 0.50, 5000000, true, false),
+        (2, 3500000, 0.55, 3, 20000000, 90000000, 60000000, 0.55, false, 220000000, 60000000, 2, 0.20, true, 0.15, false, 0.40, -1.0, 300000000, 3, 1.5, false, 0.50, 5000000, true, true),
+        (3, 2000000, 0.38, 5, 0, 0, 60000000, 0.25, true, 350000000, 60000000, 2, 0.05, false, 0.15, true, 0.40, 300.0, 420000000, 2, 0.0, true, 0.55, 30000000, false, true))
+        t(prof_no, window_us, threshold, radius, merge_us, skip_s0, skip_e0, bf_w, bf_dense, bf_gap, bf_dur, bf_ev, sc_w, sc_inv, si_w, lo_on, lo_w, learn_at, lo_gap, lo_ev, lo_ratio, lb_on, lb_w, lb_dur, psip, xds)""",
+    "settled": """SELECT r.rec_id, r.duration_us, p.*, 60000000 AS min_us, 600000000 AS max_us, 30000000 AS lo_dur, 0.002 AS ticker,
+        CASE WHEN p.psip AND r.rec_id % 7 = 0 THEN 120000000 WHEN p.xds AND r.rec_id % 5 = 0 THEN 60000000 ELSE p.skip_s0 END AS skip_s,
+        CASE WHEN p.psip AND r.rec_id % 7 = 0 THEN 180000000 WHEN p.xds AND r.rec_id % 5 = 0 THEN 0 ELSE p.skip_e0 END AS skip_e FROM recs r JOIN prof p ON p.prof_no = r.rec_id % 4""",
+    "black": """SELECT e.rec_id, e.t_us AS start_us, e.t_us + e.len_us AS end_us, s.* EXCLUDE (rec_id) FROM ev e JOIN settled s USING (rec_id) WHERE e.signal = 'BlackFrame'""",
+    "black_long": """SELECT * FROM black WHERE bf_dense AND (end_us - start_us) / 1000000.0::DOUBLE >= 15 / (30000.0::DOUBLE / 1001)""",
+    "black_m": """SELECT *, CASE WHEN start_us - lag(start_us) OVER w <= bf_gap THEN 0 ELSE 1 END AS f, coalesce(start_us - lag(start_us) OVER w, 4611686018427387904) AS before_us, coalesce(lead(start_us) OVER w - start_us, 4611686018427387904) AS after_us
+        FROM black_long WINDOW w AS (PARTITION BY rec_id ORDER BY start_us, end_us)""",
+    "black_r": """SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS run FROM black_m""",
+    "black_segs": """SELECT rec_id, start_us, end_us FROM black WHERE NOT bf_dense
+        UNION ALL SELECT rec_id, min(start_us), max(start_us) FROM black_r GROUP BY rec_id, run HAVING count(*) >= any_value(bf_ev) AND max(start_us) - min(start_us) >= any_value(bf_dur)
+        UNION ALL SELECT rec_id, start_us, end_us FROM black_m WHERE bf_ev <= 1 AND end_us - start_us >= bf_dur AND before_us > bf_gap AND after_us > bf_gap""",
+    "corner_no": """SELECT * FROM (VALUES (0, 'top-left'), (1, 'top-right'), (2, 'bottom-left'), (3, 'bottom-right'), (4, 'top-band'), (5, 'bottom-band')) t(n, source)""",
+    "changes": """SELECT e.rec_id, c.source, c.n, e.t_us, e.event_id FROM ev e JOIN corner_no c ON c.n = e.event_id % 6 WHERE e.signal = 'LogoAbsence'""",
+    "probes": """SELECT e.rec_id, c.source, c.n, e.t_us // 5000000 * 5000000 AS t_us, e.event_id FROM ev e JOIN corner_no c ON c.n = e.event_id % 4 WHERE e.signal = 'LogoAbsence' AND e.len_us // 1000 % 10 < 7""",
+    "learn": """SELECT rec_id, least(CASE WHEN learn_at >= 0 THEN learn_at ELSE skip_s / 1000000.0::DOUBLE END, 1800.0::DOUBLE) AS at_s, least(900.0::DOUBLE, 3600 - least(CASE WHEN learn_at >= 0 THEN learn_at ELSE skip_s / 1000000.0::DOUBLE END, 1800.0::DOUBLE)) AS len_s
+        FROM settled WHERE lo_on AND lo_w > 0""",
+    "busy": """SELECT l.rec_id, c.source, c.n, count(x.event_id) / any_value(l.len_s) AS rate FROM learn l CROSS JOIN corner_no c
+        LEFT JOIN changes x ON x.rec_id = l.rec_id AND x.n = c.n AND x.t_us >= l.at_s * 1000000 AND x.t_us < (l.at_s + l.len_s) * 1000000 GROUP BY l.rec_id, c.source, c.n""",
+    "calm": """SELECT b.rec_id, b.source, b.rate, s.lo_ratio, min(b.rate) OVER w AS least_rate, count(*) OVER w AS n_left FROM busy b JOIN settled s USING (rec_id) WHERE b.n < 4 AND b.rate <= s.ticker WINDOW w AS (PARTITION BY b.rec_id)""",
+    "active": """SELECT rec_id, source FROM calm WHERE n_left < 2 OR lo_ratio <= 0 OR rate <= least_rate * lo_ratio""",
+    "away": """SELECT rec_id, source, t_us FROM probes WHERE (rec_id + n) % 3 <> 0 UNION ALL SELECT rec_id, source, t_us FROM changes WHERE n > 3 OR (rec_id + n) % 3 = 0""",
+    "voted": """SELECT a.rec_id, a.t_us, count(*) OVER (PARTITION BY a.rec_id, a.t_us // 5000000) AS votes, k.n_active FROM away a JOIN active USING (rec_id, source) JOIN (SELECT rec_id, count(*) AS n_active FROM active GROUP BY rec_id) k USING (rec_id)""",
+    "dots": """SELECT rec_id, 'LogoAbsence' AS signal, t_us FROM voted WHERE n_active < 2 OR (votes >= 2 AND t_us // 5000000 < 721) UNION ALL SELECT rec_id, signal, t_us FROM ev WHERE signal = 'SceneChange'""",
+    "dots_m": """SELECT d.rec_id, d.signal, d.t_us, s.lo_gap, s.lo_dur, s.lo_ev, CASE WHEN d.t_us - lag(d.t_us) OVER (PARTITION BY d.rec_id, d.signal ORDER BY d.t_us) <= s.lo_gap THEN 0 ELSE 1 END AS f FROM dots d JOIN settled s USING (rec_id)""",
+    "dots_r": """SELECT *, sum(f) OVER (PARTITION BY rec_id, signal ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS run FROM dots_m""",
+    "segs": """SELECT rec_id, 'BlackFrame' AS signal, start_us, end_us FROM black_segs
+        UNION ALL SELECT rec_id, signal, min(t_us), max(t_us) FROM dots_r GROUP BY rec_id, signal, run HAVING count(*) >= any_value(lo_ev) AND max(t_us) - min(t_us) >= any_value(lo_dur)
+        UNION ALL SELECT rec_id, signal, t_us, t_us + len_us FROM ev WHERE signal = 'Silence'
+        UNION ALL SELECT e.rec_id, e.signal, e.t_us, e.t_us + e.len_us FROM ev e JOIN settled s USING (rec_id) WHERE e.signal = 'Letterbox' AND s.lb_on AND e.len_us >= s.lb_dur""",
+    "slots": """SELECT rec_id, duration_us, window_us, unnest(generate_series(0, (duration_us + window_us - 1) // window_us - 1)) AS i FROM settled""",
+    "cells": """SELECT rec_id, i, i * window_us AS start_us, least((i + 1) * window_us, duration_us) AS end_us FROM slots""",
     "hits": """SELECT DISTINCT c.rec_id, s.signal, c.i FROM cells c JOIN segs s ON s.rec_id = c.rec_id AND s.start_us < c.end_us AND s.end_us > c.start_us""",
     "absent": """SELECT r.rec_id, coalesce(sum((s.end_us - s.start_us) / 1000000.0), 0.0) AS absent_s FROM recs r LEFT JOIN (SELECT * FROM segs WHERE signal = 'LogoAbsence') s USING (rec_id) GROUP BY r.rec_id""",
-    "present": """SELECT r.rec_id, v.signal, v.weight FROM recs r CROSS JOIN (VALUES ('BlackFrame', 0.60::DOUBLE), ('SceneChange', 0.05::DOUBLE), ('Silence', 0.15::DOUBLE), ('LogoAbsence', 0.40::DOUBLE)) v(signal, weight)
-        JOIN absent a USING (rec_id) WHERE v.signal <> 'LogoAbsence' OR a.absent_s / 3600 < 0.85""",
+    "present": """SELECT s.rec_id, v.signal, CASE v.signal WHEN 'BlackFrame' THEN s.bf_w WHEN 'SceneChange' THEN s.sc_w WHEN 'Silence' THEN s.si_w WHEN 'LogoAbsence' THEN s.lo_w ELSE s.lb_w END AS weight
+        FROM settled s JOIN absent a USING (rec_id) CROSS JOIN (VALUES ('BlackFrame'), ('SceneChange'), ('Silence'), ('LogoAbsence'), ('Letterbox')) v(signal)
+        WHERE CASE v.signal WHEN 'LogoAbsence' THEN s.lo_on AND s.lo_w > 0 AND a.absent_s / 3600 < 0.85 AND s.rec_id IN (SELECT rec_id FROM active) WHEN 'Letterbox' THEN s.lb_on ELSE true END""",
     "total": """SELECT rec_id, CASE WHEN sum(weight) > 0 THEN sum(weight) ELSE 1 END AS total FROM present GROUP BY rec_id""",
-    "raw": """SELECT h.rec_id, h.i, least(1.0, greatest(0.0, sum(p.weight) / any_value(t.total))) AS p FROM hits h JOIN present p USING (rec_id, signal) JOIN total t USING (rec_id) GROUP BY h.rec_id, h.i""",
+    "lit": """SELECT h.rec_id, h.i, h.signal FROM hits h JOIN settled s USING (rec_id) WHERE NOT (h.signal = 'SceneChange' AND s.sc_inv)
+        UNION ALL SELECT c.rec_id, c.i, 'SceneChange' FROM cells c JOIN settled s USING (rec_id) WHERE s.sc_inv AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.rec_id = c.rec_id AND h.i = c.i AND h.signal = 'SceneChange')""",
+    "raw": """SELECT h.rec_id, h.i, least(1.0, greatest(0.0, sum(p.weight) / any_value(t.total))) AS p FROM lit h JOIN present p USING (rec_id, signal) JOIN total t USING (rec_id) GROUP BY h.rec_id, h.i""",
     "win": """SELECT c.rec_id, c.i, c.start_us, c.end_us, coalesce(r.p, 0.0) AS p0 FROM cells c LEFT JOIN raw r USING (rec_id, i)""",
-    "smo": """SELECT *, avg(p0) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS p FROM win""",
-    "cls": """SELECT *, CASE WHEN round(p, 9) >= 0.38 THEN 'Commercial' ELSE 'Program' END AS class FROM smo""",
+    "smo": """SELECT w.*, CASE s.radius WHEN 0 THEN w.p0 WHEN 3 THEN avg(w.p0) OVER (PARTITION BY rec_id ORDER BY w.i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) ELSE avg(w.p0) OVER (PARTITION BY rec_id ORDER BY w.i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS p FROM win w JOIN settled s USING (rec_id)""",
+    "cls": """SELECT m.*, CASE WHEN round(m.p, 9) >= s.threshold THEN 'Commercial' ELSE 'Program' END AS class FROM smo m JOIN settled s USING (rec_id)""",
     "isl0": """SELECT *, CASE WHEN class = lag(class) OVER (PARTITION BY rec_id ORDER BY i) THEN 0 ELSE 1 END AS f FROM cls""",
     "isl1": """SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM isl0""",
     "isl": """SELECT rec_id, min(start_us) AS start_us, max(end_us) AS end_us, any_value(class) AS type, avg(p) AS confidence,
         CAST(trunc(min(start_us) / 1000000.0::DOUBLE * (30000.0::DOUBLE / 1001)) AS BIGINT) AS start_frame, CAST(trunc(max(end_us) / 1000000.0::DOUBLE * (30000.0::DOUBLE / 1001)) AS BIGINT) AS end_frame FROM isl1 GROUP BY rec_id, run""",
-    "skip0": """SELECT * REPLACE (CASE WHEN type = 'Commercial' AND start_us < 90000000 THEN 'Program' ELSE type END AS type) FROM isl""",
-    "skip1": """SELECT * REPLACE (CASE WHEN type = 'Commercial' AND end_us > 3540000000 AND start_us < 3540000000 THEN 3540000000 ELSE end_us END AS end_us,
-        CASE WHEN type = 'Commercial' AND end_us > 3540000000 AND start_us >= 3540000000 THEN 'Program' ELSE type END AS type) FROM skip0""",
-    "gap0": """SELECT *, coalesce(type = 'Program' AND lag(type) OVER w = 'Commercial' AND lead(type) OVER w = 'Commercial' AND end_us - start_us <= {gap}, false) AS closed FROM {src} WINDOW w AS (PARTITION BY rec_id ORDER BY start_us)""",
+    "skip0": """SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND x.start_us < s.skip_s THEN 'Program' ELSE x.type END AS type) FROM isl x JOIN settled s USING (rec_id)""",
+    "skip1": """SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND s.skip_e > 0 AND x.end_us > 3600000000 - s.skip_e AND x.start_us < 3600000000 - s.skip_e THEN 3600000000 - s.skip_e ELSE x.end_us END AS end_us,
+        CASE WHEN x.type = 'Commercial' AND s.skip_e > 0 AND x.end_us > 3600000000 - s.skip_e AND x.start_us >= 3600000000 - s.skip_e THEN 'Program' ELSE x.type END AS type) FROM skip0 x JOIN settled s USING (rec_id)""",
+    "gap0": """SELECT x.*, coalesce(x.type = 'Program' AND lag(x.type) OVER w = 'Commercial' AND lead(x.type) OVER w = 'Commercial' AND s.merge_us > 0 AND x.end_us - x.start_us <= s.merge_us, false) AS closed FROM {src} x JOIN settled s USING (rec_id) WINDOW w AS (PARTITION BY rec_id ORDER BY x.start_us)""",
 }
 _FOLD = "list_reduce(list(confidence ORDER BY start_us){only}, lambda a, b: (a + b) / 2)"
 
@@ -76,22 +115,23 @@ def _grouped(src: str, only: str = "") -> str:
         arg_min(start_frame, start_us) AS start_frame, arg_max(end_frame, start_us) AS end_frame FROM {src} GROUP BY rec_id, run"""
 
 
-def _named(name: str, src: str, gap_us: int, lo: int = 60_000_000, hi: int = 600_000_000, bridge: bool = True) -> None:
+def _named(name: str, src: str, bridge: bool = True) -> None:
     """CTEs that bridge gaps, limit durations and merge, from ``src`` to ``name``."""
     if bridge:
-        CTES[f"{name}_g0"] = CTES["gap0"].format(gap=gap_us, src=src)
+        CTES[f"{name}_g0"] = CTES["gap0"].format(src=src)
         CTES[f"{name}_g1"] = f"SELECT *, CASE WHEN closed OR lag(closed, 1, false) OVER (PARTITION BY rec_id ORDER BY start_us) THEN 0 ELSE 1 END AS f FROM {name}_g0"
         CTES[f"{name}_g2"] = f"SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS run FROM {name}_g1"
         CTES[f"{name}_g"] = _grouped(f"{name}_g2", " FILTER (WHERE NOT closed)").replace("AS s,", "AS start_us,")
         src = f"{name}_g"
-    CTES[f"{name}_d0"] = f"SELECT * REPLACE (CASE WHEN type = 'Commercial' AND (end_us - start_us < {lo} OR end_us - start_us > {hi}) THEN 'Program' ELSE type END AS type) FROM {src}"
+    CTES[f"{name}_d0"] = f"SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND (x.end_us - x.start_us < s.min_us OR x.end_us - x.start_us > s.max_us) THEN 'Program' ELSE x.type END AS type) FROM {src} x JOIN settled s USING (rec_id)"
     CTES[f"{name}_d1"] = f"SELECT *, CASE WHEN type = lag(type) OVER (PARTITION BY rec_id ORDER BY start_us) THEN 0 ELSE 1 END AS f FROM {name}_d0"
     CTES[f"{name}_d2"] = f"SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS run FROM {name}_d1"
     CTES[name] = _grouped(f"{name}_d2").replace("AS s,", "AS start_us,")
 
 
-_named("fin", "skip1", 20_000_000)
-_named("lim", "isl", 0, bridge=False)
+_named("mrg", "skip1")
+_named("lim", "isl", bridge=False)
+CTES["fin"] = """SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND (x.start_us < s.skip_s OR (s.skip_e > 0 AND x.end_us > 3600000000 - s.skip_e)) THEN 'Program' ELSE x.type END AS type) FROM mrg x JOIN settled s USING (rec_id)"""
 CTES["num"] = """SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY start_us) - 1 AS seg_no, row_number() OVER (PARTITION BY rec_id, type ORDER BY start_us) AS type_no FROM fin"""
 
 
@@ -121,20 +161,28 @@ def _events(spark, sf_dir, *signals: str) -> DataFrame:
     return e.filter(F.col("signal").isin(*signals)) if signals else e
 
 
+def _settled(spark, sf_dir) -> DataFrame:
+    return views.settled_recordings(spark, sf_dir)
+
+
 def _found(spark, sf_dir) -> DataFrame:
-    return detect.signal_segments(_events(spark, sf_dir, "BlackFrame", "SceneChange", "LogoAbsence"), views.signal_spans(spark, sf_dir, "Silence"), FLAGSHIP)
+    return detect.found_segments(views.found(spark, sf_dir), _settled(spark, sf_dir))[0]
 
 
-def _classified(spark, sf_dir) -> DataFrame:
-    return detect.classified(views.recordings(spark, sf_dir), _found(spark, sf_dir), FLAGSHIP)
+def _scored(spark, sf_dir) -> DataFrame:
+    return detect.scored_windows(views.found(spark, sf_dir), _settled(spark, sf_dir))
 
 
 def _islands(spark, sf_dir) -> DataFrame:
-    return segments.with_frames(segments.islands(_classified(spark, sf_dir)), views.FPS)
+    return detect.raw_segments(views.found(spark, sf_dir), _settled(spark, sf_dir))
+
+
+def _with(spark, sf_dir, rows: DataFrame, *settings: str) -> DataFrame:
+    return rows.join(_settled(spark, sf_dir).select("rec_id", "duration_us", *settings), "rec_id")
 
 
 def _breaks(spark, sf_dir) -> DataFrame:
-    return detect.detect_breaks(views.recordings(spark, sf_dir), _events(spark, sf_dir, "BlackFrame", "SceneChange", "LogoAbsence"), views.signal_spans(spark, sf_dir, "Silence"), FLAGSHIP)
+    return detect.detect_breaks(views.found(spark, sf_dir), _settled(spark, sf_dir))
 
 
 _SEG = "rec_id, start_us, end_us, type, round(confidence, 6) AS confidence, start_frame, end_frame"
@@ -174,60 +222,63 @@ def bf_min_count(spark, sf_dir):
     return intervals.long_enough(views.signal_spans(spark, sf_dir, "BlackFrame"), 150, views.FPS).drop("event_id")
 
 
+@query("SELECT rec_id, signal, start_us, end_us FROM segs")
+def found_segments(spark, sf_dir):
+    """The segments of all signals, each under its own detector's settings and its recording's profile."""
+    return _found(spark, sf_dir).select("rec_id", "signal", "start_us", "end_us")
+
+
 @query("SELECT rec_id, signal, i FROM hits")
 def overlap_windows(spark, sf_dir):
-    return intervals.overlap_windows(_found(spark, sf_dir), FLAGSHIP.window_us, views.DURATION_US)
+    return intervals.overlap_windows(_with(spark, sf_dir, _found(spark, sf_dir), "window_size"), detect.us("window_size"), F.col("duration_us"))
 
 
-@query("SELECT DISTINCT c.rec_id, c.i FROM cells c SEMI JOIN (SELECT * FROM segs WHERE signal = 'Silence') s ON s.rec_id = c.rec_id AND s.start_us < c.end_us AND s.end_us > c.start_us")
+@query("SELECT DISTINCT c.rec_id, c.i FROM (SELECT rec_id, i, i * 2000000 AS start_us, (i + 1) * 2000000 AS end_us FROM recs, generate_series(0, 1799) g(i)) c SEMI JOIN (SELECT rec_id, t_us AS start_us, t_us + len_us AS end_us FROM ev WHERE signal = 'Silence') s ON s.rec_id = c.rec_id AND s.start_us < c.end_us AND s.end_us > c.start_us")
 def overlap_theta_join(spark, sf_dir):
-    c = intervals.grid(views.recordings(spark, sf_dir), FLAGSHIP.window_us).alias("c")
+    c = intervals.grid(views.recordings(spark, sf_dir), 2_000_000).alias("c")
     s = views.signal_spans(spark, sf_dir, "Silence").alias("s")
     return c.join(s, (F.col("s.rec_id") == F.col("c.rec_id")) & (F.col("s.start_us") < F.col("c.end_us")) & (F.col("s.end_us") > F.col("c.start_us")), "left_semi").select("rec_id", "i")
 
 
 @query("SELECT rec_id, round(total, 9) AS total FROM total")
 def active_weights(spark, sf_dir):
-    present = detect.present_signals(views.recordings(spark, sf_dir), _found(spark, sf_dir), FLAGSHIP)
-    return score.active_weights(present).select("rec_id", F.round("total", 9).alias("total"))
+    r = _settled(spark, sf_dir)
+    segs, active = detect.found_segments(views.found(spark, sf_dir), r)
+    return score.active_weights(detect.present_signals(segs, r, active)).select("rec_id", F.round("total", 9).alias("total"))
 
 
 @query("SELECT rec_id, i, start_us, end_us, round(p0, 9) AS p FROM win")
 def weighted_scores(spark, sf_dir):
-    return detect.scored_windows(views.recordings(spark, sf_dir), _found(spark, sf_dir), FLAGSHIP).withColumn("p", F.round("p", 9))
+    return _scored(spark, sf_dir).select("rec_id", "i", "start_us", "end_us", F.round("p", 9).alias("p"))
 
 
-@query("""SELECT c.rec_id, c.i, round((0.6 * coalesce(b.x, 0) + 0.05 * (1 - coalesce(s.x, 0))) / 0.65, 9) AS p FROM cells c
-    LEFT JOIN (SELECT rec_id, i, 1 AS x FROM hits WHERE signal = 'BlackFrame') b USING (rec_id, i) LEFT JOIN (SELECT rec_id, i, 1 AS x FROM hits WHERE signal = 'SceneChange') s USING (rec_id, i)""")
+@query("""SELECT rec_id, i, round((p0 * total + CASE WHEN h.x THEN -sc_w ELSE sc_w END * CASE WHEN sc_inv THEN -1 ELSE 1 END) / total, 9) AS p FROM win JOIN total USING (rec_id) JOIN settled USING (rec_id)
+    LEFT JOIN (SELECT rec_id, i, true AS x FROM hits WHERE signal = 'SceneChange') h USING (rec_id, i)""")
 def invert_scores(spark, sf_dir):
-    p = Params(weights={"BlackFrame": 0.60, "SceneChange": 0.05}, inverted=("SceneChange",))
-    found = _found(spark, sf_dir).filter(F.col("signal").isin("BlackFrame", "SceneChange"))
-    return detect.scored_windows(views.recordings(spark, sf_dir), found, p).select("rec_id", "i", F.round("p", 9).alias("p"))
+    """Each profile with its scene changes turned the other way."""
+    r = _settled(spark, sf_dir).withColumn("sc_invert", ~F.col("sc_invert"))
+    return detect.scored_windows(views.found(spark, sf_dir), r).select("rec_id", "i", F.round("p", 9).alias("p"))
 
 
 @query("SELECT rec_id, i, string_agg(signal, ',' ORDER BY signal) AS signals FROM hits GROUP BY rec_id, i")
 def signal_score_map(spark, sf_dir):
-    hits = intervals.overlap_windows(_found(spark, sf_dir), FLAGSHIP.window_us, views.DURATION_US)
-    return score.score_map(hits, hits).select("rec_id", "i", F.array_join(F.sort_array(F.map_keys("signal_scores")), ",").alias("signals"))
+    hits = intervals.overlap_windows(_with(spark, sf_dir, _found(spark, sf_dir), "window_size"), detect.us("window_size"), F.col("duration_us"))
+    return score.score_map(hits).select("rec_id", "i", F.array_join(F.sort_array(F.map_keys("signal_scores")), ",").alias("signals"))
 
 
-@query("SELECT rec_id, i, round(p, 9) AS p FROM smo")
+@query("SELECT rec_id, i, round(avg(p0) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 9) AS p FROM win")
 def smooth_scores(spark, sf_dir):
-    w = detect.scored_windows(views.recordings(spark, sf_dir), _found(spark, sf_dir), FLAGSHIP)
-    return score.smooth(w, 3).select("rec_id", "i", F.round("p", 9).alias("p"))
+    return score.smooth(_scored(spark, sf_dir), 3).select("rec_id", "i", F.round("p", 9).alias("p"))
 
 
-@query("""SELECT rec_id, i, round(CASE rec_id % 3 WHEN 0 THEN p0 WHEN 1 THEN avg(p0) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
-    ELSE avg(p0) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END, 9) AS p FROM win""")
+@query("SELECT rec_id, i, round(p, 9) AS p FROM smo")
 def smooth_by_profile(spark, sf_dir):
-    w = detect.scored_windows(views.recordings(spark, sf_dir), _found(spark, sf_dir), FLAGSHIP)
-    r = w.withColumn("r", F.when(F.col("rec_id") % 3 == 0, 0).when(F.col("rec_id") % 3 == 1, 2).otherwise(5))
-    return score.smooth(r, "r", (0, 2, 5)).select("rec_id", "i", F.round("p", 9).alias("p"))
+    return score.smooth(_scored(spark, sf_dir), F.col("smoothing_radius")).select("rec_id", "i", F.round("p", 9).alias("p"))
 
 
 @query("SELECT rec_id, i, class AS classification FROM cls")
 def threshold_class(spark, sf_dir):
-    return _classified(spark, sf_dir).select("rec_id", "i", "classification")
+    return detect.classified(views.found(spark, sf_dir), _settled(spark, sf_dir)).select("rec_id", "i", "classification")
 
 
 # Segments -------------------------------------------------------------------
@@ -238,20 +289,24 @@ def islands(spark, sf_dir):
     return _shown(_islands(spark, sf_dir))
 
 
+def _skipped(spark, sf_dir) -> DataFrame:
+    s = _with(spark, sf_dir, _islands(spark, sf_dir), "skip_start", "skip_end", "merge_gap")
+    return segments.strip_end(segments.strip_start(s, F.col("skip_start")), F.col("skip_end"), F.col("duration_us"))
+
+
 @query(f"SELECT {_SEG} FROM skip0")
 def skip_start(spark, sf_dir):
-    return _shown(segments.strip_start(_islands(spark, sf_dir), 90))
+    return _shown(segments.strip_start(_with(spark, sf_dir, _islands(spark, sf_dir), "skip_start"), F.col("skip_start")))
 
 
 @query(f"SELECT {_SEG} FROM skip1")
 def skip_end_trim(spark, sf_dir):
-    return _shown(segments.strip_end(segments.strip_start(_islands(spark, sf_dir), 90), 60, views.DURATION_US))
+    return _shown(_skipped(spark, sf_dir))
 
 
-@query(f"SELECT {_SEG} FROM fin_g")
+@query(f"SELECT {_SEG} FROM mrg_g")
 def gap_merge(spark, sf_dir):
-    s = segments.strip_end(segments.strip_start(_islands(spark, sf_dir), 90), 60, views.DURATION_US)
-    return _shown(segments.bridge_gaps(s, 20))
+    return _shown(segments.bridge_gaps(_skipped(spark, sf_dir), F.col("merge_gap")))
 
 
 @query(f"SELECT {_SEG} FROM lim")
@@ -265,10 +320,10 @@ def confidence_fold(spark, sf_dir):
     return _islands(spark, sf_dir).groupBy("rec_id").agg(parts.alias("c")).select("rec_id", F.round(segments.folded(F.transform("c", lambda c: c["confidence"])), 6).alias("confidence"))
 
 
-@query(f"SELECT {_SEG} FROM fin")
+@query(f"""SELECT {_SEG} FROM (SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND (x.start_us < s.skip_s OR (s.skip_e > 0 AND x.end_us > 3600000000 - s.skip_e)) THEN 'Program' ELSE x.type END AS type) FROM isl x JOIN settled s USING (rec_id))""")
 def skip_recheck(spark, sf_dir):
-    r = views.recordings(spark, sf_dir)
-    return _shown(segments.recheck_skips(_breaks(spark, sf_dir).join(r.select("rec_id", "duration_us"), "rec_id"), 90, 60, F.col("duration_us")))
+    s = _with(spark, sf_dir, _islands(spark, sf_dir), "skip_start", "skip_end")
+    return _shown(segments.recheck_skips(s, F.col("skip_start"), F.col("skip_end"), F.col("duration_us")))
 
 
 @query("SELECT rec_id, count(*) FILTER (WHERE type = 'Commercial') AS n_breaks, coalesce(sum((end_us - start_us) / 1000000.0) FILTER (WHERE type = 'Commercial'), 0.0)::DOUBLE AS break_s FROM fin GROUP BY rec_id")
@@ -279,30 +334,38 @@ def break_totals(spark, sf_dir):
 # Corners and bands ----------------------------------------------------------
 
 CTES["logo"] = "SELECT * FROM ev WHERE signal = 'LogoAbsence'"
-CTES["regions"] = "SELECT r.rec_id, s.source FROM recs r, (VALUES ('0'), ('1'), ('2'), ('3')) s(source)"
-CTES["rates"] = "SELECT g.rec_id, g.source, count(l.event_id) / 180.0 AS rate FROM regions g LEFT JOIN (SELECT * FROM logo WHERE t_us BETWEEN 90000000 AND 2700000000) l USING (rec_id, source) GROUP BY ALL"
 
 
 def _rates(spark, sf_dir) -> DataFrame:
-    regions = views.recordings(spark, sf_dir).select("rec_id", F.explode(F.array(*map(F.lit, "0123"))).alias("source"))
-    return intervals.region_rates(regions, _events(spark, sf_dir, "LogoAbsence").filter("t_us between 90000000 and 2700000000"), 180)
+    return detect.activity(views.found(spark, sf_dir).corners, _settled(spark, sf_dir))
 
 
-@query("SELECT rec_id, source, round(rate, 9) AS rate FROM rates")
+@query("SELECT rec_id, source, round(rate, 9) AS rate FROM busy")
 def corner_rates(spark, sf_dir):
     return _rates(spark, sf_dir).withColumn("rate", F.round("rate", 9))
 
 
-@query("SELECT rec_id, source, round(rate, 9) AS rate FROM rates WHERE rate <= 0.02")
+@query("SELECT rec_id, source, round(rate, 9) AS rate FROM busy WHERE rate <= 0.002")
 def ticker_filter(spark, sf_dir):
-    return intervals.without_tickers(_rates(spark, sf_dir), 0.02).withColumn("rate", F.round("rate", 9))
+    return intervals.without_tickers(_rates(spark, sf_dir), 0.002).withColumn("rate", F.round("rate", 9))
 
 
-@query("""SELECT rec_id, source, round(rate, 9) AS rate FROM (SELECT *, count(*) OVER w AS n, min(rate) OVER w AS m FROM rates WINDOW w AS (PARTITION BY rec_id)) WHERE n < 2 OR rate <= m * 1.5""")
+@query("""SELECT rec_id, source, round(rate, 9) AS rate FROM (SELECT *, count(*) OVER w AS k, min(rate) OVER w AS m FROM busy WINDOW w AS (PARTITION BY rec_id)) WHERE k < 2 OR rate <= m * 1.5""")
 def noise_filter(spark, sf_dir):
     return intervals.without_noise(_rates(spark, sf_dir), 1.5).withColumn("rate", F.round("rate", 9))
 
 
+@query("SELECT rec_id, source FROM active")
+def active_corners(spark, sf_dir):
+    return detect.active_corners(_rates(spark, sf_dir), _settled(spark, sf_dir))
+
+
+@query("SELECT rec_id, source, round(rate * 1000, 9) AS rate FROM busy WHERE n > 3 AND rate * 1000 > 1.5")
+def band_warnings(spark, sf_dir):
+    """Rates a thousand seconds, as the tables' events are sparse."""
+    return intervals.band_warnings(_rates(spark, sf_dir).withColumn("rate", F.col("rate") * 1000)).withColumn("rate", F.round("rate", 9))
+
+
 @query("SELECT rec_id, source, event_id, t_us FROM (SELECT *, count(*) OVER (PARTITION BY rec_id, t_us // 60000000) AS n FROM logo WHERE source <> '3') WHERE n >= 2")
 def consensus_buckets(spark, sf_dir):
     active = views.recordings(spark, sf_dir).select("rec_id", F.explode(F.array(*map(F.lit, "012"))).alias("source"))
@@ -316,7 +379,7 @@ def absent_fraction(spark, sf_dir):
     return out.withColumns({"absent_s": F.round("absent_s", 6), "share": F.round("share", 9)})
 
 
-@query("SELECT rec_id, least(rec_id % 7 * 400.0, 1800.0)::DOUBLE AS learn_start_s, least(180.0, 3600 - least(rec_id % 7 * 400.0, 1800.0))::DOUBLE AS learn_s, 1800.0::DOUBLE AS reference_s FROM recs")
+@query("SELECT rec_id, least(rec_id % 7 * 400.0, 1800.0)::DOUBLE AS learn_start_s, least(180.0, 3600 - least(rec_id % 7 * 400.0, 1800.0))::DOUBLE AS learn_s, least(rec_id % 7 * 400.0, 1800.0)::DOUBLE + 90 AS reference_s FROM recs")
 def learn_windows(spark, sf_dir):
     return intervals.learn_window(views.recordings(spark, sf_dir), F.lit(-1), (F.col("rec_id") % 7 * 400).cast("double"), 180, -1)
 
@@ -495,9 +558,15 @@ def json_result(spark, sf_dir):
     return j.withColumn("r", back).select("rec_id", F.col("r.sourceFile").alias("source"), F.col("r.totalDuration").alias("total"), "r.resolution", F.size("r.segments").cast("bigint").alias("n"), F.round(total, 3).alias("seconds"), F.array_join(F.transform("r.segments", lambda s: s["type"]), ",").alias("types"))
 
 
-@query("""SELECT rec_id, f AS format, '/rec/show ' || (rec_id % 20) || '/Show ' || rec_id || e AS path FROM recs, (VALUES ('Edl', '.edl'), ('FFMetadata', '.ffmeta')) v(f, e)""")
+def _sql_file(name: str, fmt: str, ext: str) -> str:
+    return f"SELECT rec_id, '{fmt}' AS format, '/rec/show ' || (rec_id % 20) || '/Show ' || rec_id || '{ext}' AS path, text FROM ({_TEXT[name]})"
+
+
+@query(_sql_file("edl_lines", "Edl", ".edl") + " UNION ALL " + _sql_file("ffmeta", "FFMetadata", ".ffmeta") + " UNION ALL " + _sql_file("comskip_lines", "ComskipTxt", ".txt") + " WHERE rec_id % 2 = 1")
 def writer_dispatch(spark, sf_dir):
-    return render.render(_breaks(spark, sf_dir), views.recordings(spark, sf_dir), ["Edl", "FFMetadata", "Edl"]).drop("text")
+    """Two formats of every recording, a third of some, from one pass over the segments."""
+    formats = F.when(F.col("rec_id") % 2 == 1, F.array(*map(F.lit, ("Edl", "FFMetadata", "ComskipTxt", "Edl")))).otherwise(F.array(F.lit("FFMetadata"), F.lit("Edl")))
+    return render.render(_breaks(spark, sf_dir), views.recordings(spark, sf_dir), formats)
 
 
 # Cut plans ------------------------------------------------------------------
@@ -577,7 +646,7 @@ def breaks_report(spark, sf_dir):
     return report.breaks_report(_edl(spark, sf_dir))
 
 
-EPISODE_ORDER_SQL = """SELECT name, row_number() OVER (ORDER BY prefix, season, episode, name) AS pos FROM (SELECT 'Part ' || (p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN ' special ' || p_partkey ELSE ' s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END AS name,
+EPISODE_SQL = """SELECT name, row_number() OVER (ORDER BY prefix, season, episode, name) AS pos FROM (SELECT 'Part ' || (p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN ' special ' || p_partkey ELSE ' s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END AS name,
     CASE WHEN p_partkey % 4 = 0 THEN 'Part ' || (p_size % 3) || ' special ' || p_partkey ELSE 'Part ' || (p_size % 3) || ' ' END AS prefix, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_size % 8 END AS season, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_partkey % 10 END AS episode FROM part)"""
 
 
@@ -588,17 +657,9 @@ def _episodes(p: DataFrame) -> DataFrame:
     return report.by_episode(p.select(name.alias("name")), F.col("name"))
 
 
-@query(EPISODE_ORDER_SQL)
-def episode_order(spark, sf_dir):
-    """All parts; ``episode_sort`` has two sizes of them."""
-    return report.numbered(_episodes(views.table(spark, sf_dir, "part")), "prefix", "season", "episode", "name").select("name", "pos")
-
-
-@query("""SELECT name, row_number() OVER (ORDER BY prefix, season, episode, name) AS pos FROM (SELECT 'Part ' || (p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN ' special ' || p_partkey ELSE ' s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END AS name,
-    CASE WHEN p_partkey % 4 = 0 THEN 'Part ' || (p_size % 3) || ' special ' || p_partkey ELSE 'Part ' || (p_size % 3) || ' ' END AS prefix, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_size % 8 END AS season, CASE WHEN p_partkey % 4 = 0 THEN 9999 ELSE p_partkey % 10 END AS episode FROM part WHERE p_size = 7 OR p_size = 8)""")
+@query(EPISODE_SQL)
 def episode_sort(spark, sf_dir):
-    rows = _episodes(views.table(spark, sf_dir, "part").filter("p_size in (7, 8)"))
-    return rows.select("name", F.row_number().over(W.orderBy("prefix", "season", "episode", "name")).cast("bigint").alias("pos"))
+    return report.numbered(_episodes(views.table(spark, sf_dir, "part")), "prefix", "season", "episode", "name").select("name", "pos")
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders")
@@ -615,9 +676,15 @@ def glob_filter(spark, sf_dir):
     return p.filter(files.is_media(F.col("url"), (".html",)) & ~files.excluded(F.col("url"), ["7*.HTML", "?"]))
 
 
-@query("SELECT folder, count(*) FILTER (WHERE html) AS n_media FROM (SELECT regexp_replace(url, '/?[^/]*$', '') AS folder, false AS html FROM pages) GROUP BY folder")
+_NAMES = (".ts", ".MPG", ".mpeg", ".mp4", ".mkv", ".avi", ".wtv", ".m4v", ".Mov", ".m2ts", ".mts", ".html", ".ts.part", "")
+
+
+@query(f"""SELECT '/rec/' || (page_id % 9) AS folder, count(*) FILTER (WHERE page_id % {len(_NAMES)} < 9) AS n_media FROM pages GROUP BY 1""")
 def media_per_folder(spark, sf_dir):
-    return report.media_per_folder(views.table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+    """Names with the nine extensions of recordings, in any case, and five that are none."""
+    ext = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("page_id") % len(_NAMES) + 1).cast("int"))
+    path = F.concat(F.lit("/rec/"), (F.col("page_id") % 9).cast("string"), F.lit("/x"), F.col("page_id").cast("string"), ext)
+    return report.media_per_folder(views.table(spark, sf_dir, "pages").select(path.alias("path")))
 
 
 @query("SELECT rec_id, path FROM recs WHERE rec_id % 3 <> 0 AND rec_id % 5 <> 0")
@@ -674,21 +741,22 @@ def _packets(section, pid: int):
     return F.rpad(body, 188, F.lit(bytes([0xFF])))
 
 
-@query()
+@query("""SELECT rec_id, (1704067182 + rec_id * 60) * 1000000 AS rec_start_us, (1704067302 + rec_id * 60) * 1000000 AS prog_start_us, 3600 AS prog_len_s, lpad(CAST(rec_id AS VARCHAR), 6, '0') AS title FROM recs""")
 def psip_scan(spark, sf_dir):
-    """A time table and a listing of one programme for each recording, as bytes, and what the scanner finds in them."""
+    """Two time tables, 4,000 seconds apart, and a listing of one programme for each recording, as bytes, and what the scanner finds in them: the first table counts."""
     gps = F.lit(1_388_102_400) + F.col("rec_id") * 60
     be = lambda c, n: F.to_binary(F.lpad(F.hex(c), 2 * n, "0"), F.lit("hex"))
     hx = lambda s: F.to_binary(F.lit(s), F.lit("hex"))
     stt = F.concat(hx("CD B011 00".replace(" ", "")), be(gps, 4), hx("12" + "00" * 11))
+    later = F.concat(hx("CDB01100"), be(gps + 4000, 4), hx("12" + "00" * 11))
     title = F.encode(F.lpad(F.col("rec_id").cast("string"), 6, "0"), "ISO-8859-1")
     event = F.concat(hx("0001"), be(gps + 120, 4), be(F.lit(0x300000 + 3600), 3), hx("0E01656E67010000" + "06"), title, hx("0000"))
     eit = F.concat(hx("CBF02A" + "00" * 6 + "01"), event, hx("00" * 8))
-    r = views.recordings(spark, sf_dir).select("rec_id", F.concat(_packets(stt, broadcast.PSIP_PID), _packets(eit, broadcast.PSIP_PID)).alias("content"))
-    return broadcast.psip(r)
+    r = views.recordings(spark, sf_dir).select("rec_id", F.concat(_packets(stt, broadcast.PSIP_PID), _packets(later, broadcast.PSIP_PID), _packets(eit, broadcast.PSIP_PID)).alias("content"))
+    return broadcast.psip(r).select("rec_id", F.unix_micros("rec_start").alias("rec_start_us"), F.unix_micros("prog_start").alias("prog_start_us"), "prog_len_s", "title")
 
 
-@query()
+@query("SELECT rec_id, CAST(NULL AS VARCHAR) AS name, 3600 + rec_id % 60 * 60 AS prog_len_s, 300 AS elapsed_s FROM recs")
 def xds_scan(spark, sf_dir):
     """A programme map, and captions with a length, in one video packet for each recording."""
     hx = lambda s: F.to_binary(F.lit(s), F.lit("hex"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spotseam.functions import scalars as x
 from spotseam.operators import intervals, score, segments
 from spotseam.plans import detect
-from spotseam.plans.detect import Params
+from spotseam.sources import settings
 
 S = 1_000_000
 EVENTS, SPANS = "rec_id long, signal string, t_us long", "rec_id long, signal string, start_us long, end_us long"
@@ -67,28 +67,102 @@ def test_grid_ends_at_the_duration(spark):
     assert pairs(intervals.grid(r, 2 * S)) == [(0, 2), (2, 4), (4, 5)]
 
 
+def settled(spark, rows, **own):
+    """Recordings (rec_id, seconds) with the default settings but for ``own``."""
+    r = spark.createDataFrame([(i, round(s * S), 30.0) for i, s in rows], "rec_id long, duration_us long, frame_rate double")
+    return settings.with_defaults(r).withColumns({k: F.lit(v) for k, v in own.items()})
+
+
+def scored(spark, segs, r, active=((1, "top-left"),)):
+    active = spark.createDataFrame(list(active), "rec_id long, source string")
+    return detect.weighted(detect.hit_windows(segs, r), detect.with_corners(r, active)).orderBy("i").collect()
+
+
 def test_weights_count_signals_that_found_nothing(spark):
-    r = spark.createDataFrame([(1, 2 * S)], "rec_id long, duration_us long")
-    p = Params(weights={"BlackFrame": 0.60, "SceneChange": 0.05, "Silence": 0.15})
+    r = settled(spark, [(1, 2)], window_size=2.0, bf_weight=0.60, sc_weight=0.05, silence_weight=0.15, logo_enabled=False)
     found = spark.createDataFrame([(1, "Silence", 0, S)], SPANS)
-    assert [round(w["p"], 9) for w in detect.scored_windows(r, found, p).collect()] == [0.1875]
-    none = Params(weights={"BlackFrame": 0.0})
-    assert [w["p"] for w in detect.scored_windows(r, found.limit(0), none).collect()] == [0.0]
+    assert [round(w["p"], 9) for w in scored(spark, found, r)] == [0.1875]
+    none = settled(spark, [(1, 2)], bf_weight=0.0, sc_weight=0.0, silence_weight=0.0, logo_weight=0.0)
+    assert [w["p"] for w in scored(spark, found, none)] == [0.0, 0.0]
 
 
 def test_logo_that_is_nearly_always_away_does_not_count(spark):
-    r = spark.createDataFrame([(1, 100 * S), (2, 100 * S)], "rec_id long, duration_us long")
-    found = spark.createDataFrame([(1, "LogoAbsence", 0, 85 * S), (2, "LogoAbsence", 0, 84 * S)], SPANS)
-    got = {(w["rec_id"], w["signal"]) for w in detect.present_signals(r, found, Params()).collect()}
-    assert (1, "LogoAbsence") not in got and (2, "LogoAbsence") in got
-    assert not detect.present_signals(r, found, Params(weights={"LogoAbsence": 0.0})).collect()
+    r = settled(spark, [(1, 100), (2, 100), (3, 100)])
+    found = spark.createDataFrame([(1, "LogoAbsence", 0, 85 * S), (2, "LogoAbsence", 0, 84 * S), (3, "LogoAbsence", 0, 10 * S)], SPANS)
+    active = spark.createDataFrame([(1, "top-left"), (2, "top-left")], "rec_id long, source string")
+    got = {(w["rec_id"], w["signal"]) for w in detect.present_signals(found, r, active).collect()}
+    assert (1, "LogoAbsence") not in got and (2, "LogoAbsence") in got and (3, "LogoAbsence") not in got  # nearly always, a share, no corner left
+    assert (1, "Letterbox") not in got and (1, "BlackFrame") in got
+    rows = detect.weighted(detect.hit_windows(found, r), detect.with_corners(r, active)).filter("i = 0").collect()
+    assert {w["rec_id"]: round(w["p"], 9) for w in rows} == {1: 0.0, 2: 0.25, 3: 0.0}
+    off = detect.present_signals(found, r.withColumn("logo_weight", F.lit(0.0)), active)
+    assert off.filter("signal = 'LogoAbsence'").isEmpty()
 
 
 def test_inverted_signal(spark):
-    r = spark.createDataFrame([(1, 6 * S)], "rec_id long, duration_us long")
-    p = Params(weights={"SceneChange": 0.5, "BlackFrame": 0.5}, inverted=("SceneChange",))
+    r = settled(spark, [(1, 6)], window_size=2.0, sc_weight=0.5, bf_weight=0.5, silence_weight=0.0, logo_enabled=False, sc_invert=True)
     found = spark.createDataFrame([(1, "SceneChange", 0, S)], SPANS)
-    assert [w["p"] for w in detect.scored_windows(r, found, p).orderBy("i").collect()] == [0.0, 0.5, 0.5]
+    assert [w["p"] for w in scored(spark, found, r)] == [0.0, 0.5, 0.5]
+
+
+def test_black_path_by_recording(spark):
+    """As they are; clusters of long enough ones; a lone one where one event is enough."""
+    r = settled(spark, [(1, 3600), (2, 3600), (3, 3600)], bf_min_count=30, bf_cluster_max_gap=180.0, bf_cluster_min_duration=2.0)
+    r = r.withColumns({"bf_use_clustering": F.col("rec_id") > 1, "bf_cluster_min_events": F.when(F.col("rec_id") == 3, 1).otherwise(2)})
+    made = [(0, 1), (100, 100.5), (200, 201), (350, 351), (900, 903)]
+    spans = spark.createDataFrame([(k, "BlackFrame", round(a * S), round(b * S)) for k in (1, 2, 3) for a, b in made], SPANS)
+    got = {k: sorted((x["start_us"] / S, x["end_us"] / S) for x in detect.black_segments(spans, r).collect() if x["rec_id"] == k) for k in (1, 2, 3)}
+    assert got[1] == made
+    assert got[2] == [(200, 350)]  # the short one at 100 doesn't bridge 0 and 200
+    assert got[3] == [(200, 350), (900, 903)]
+
+
+def test_scene_changes_take_the_logo_settings(spark):
+    r = settled(spark, [(1, 3600)])
+    cuts = spark.createDataFrame([(1, t * S) for t in (0, 10, 20, 30, 40, 500, 535, 570, 605)], "rec_id long, t_us long")
+    assert pairs(detect.scene_segments(cuts, r)) == [(0, 40)]  # 35/30/5: the second run has four events
+
+
+def test_corner_path(spark):
+    """Rates in the learning window, tickers and noise out, probes where there is a reference, votes."""
+    r = settled(spark, [(1, 1000)], logo_learn_duration=100.0, skip_start=50.0, logo_ticker_threshold=0.5, logo_cluster_min_events=2, logo_cluster_min_duration=1.0)
+    changes = [("top-left", t) for t in (60, 70, 300, 303)] + [("top-right", t) for t in (61, 80, 400)] + [("bottom-left", t) for t in range(50, 110)] + [("bottom-right", t) for t in range(60, 70)] + [("top-band", 55)] + [("top-left", 10), ("top-left", 150)]
+    corners = spark.createDataFrame([(1, c, t * S) for c, t in changes], "rec_id long, source string, t_us long")
+    probes = spark.createDataFrame([(1, "top-right", 300 * S), (1, "top-right", 305 * S), (1, "top-left", 800 * S)], "rec_id long, source string, t_us long")
+    refs = spark.createDataFrame([(1, "top-right")], "rec_id long, source string")
+    none = spark.createDataFrame([], SPANS)
+    found = detect.Found(none, corners.select("rec_id", "t_us").limit(0), corners, probes, refs)
+    rates = {x["source"]: x["rate"] for x in detect.activity(corners, r).collect()}
+    assert rates == {"top-left": 0.02, "top-right": 0.02, "bottom-left": 0.6, "bottom-right": 0.1, "top-band": 0.01, "bottom-band": 0.0}
+    active = detect.active_corners(detect.activity(corners, r), r)
+    assert {x["source"] for x in active.collect()} == {"top-left", "top-right"}
+    # 300 and 303 changed at the top left, 300 and 305 probed at the top right; 305 has no second vote, nor have the others.
+    assert sorted(x["t_us"] // S for x in detect.logo_events(found, active, r).collect()) == [300, 300, 303]
+    segs, _ = detect.found_segments(found, r)
+    assert pairs(segs) == [(300, 303)]
+    assert intervals.band_warnings(spark.createDataFrame([(1, "top-band", 1.6), (1, "bottom-band", 1.5), (1, "top-left", 9.0)], "rec_id long, source string, rate double")).count() == 1
+
+
+def test_profiles_in_one_plan_equal_each_alone(spark, sf):
+    from spotseam.plans import views
+
+    r, found = views.settled_recordings(spark, sf), views.found(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.select("rec_id", "start_us", "end_us", "type").collect()))
+    every = rows(detect.detect_breaks(found, r))
+    alone = [x for n in range(4) for x in rows(detect.detect_breaks(found, r.filter(F.col("rec_id") % 4 == n)))]
+    assert every == sorted(alone) and len({x[3] for x in every}) == 2
+
+
+def test_smoothing_by_column_equals_each_radius(spark):
+    rng = random.Random(3)
+    rows = [(k, i, i * S, (i + 1) * S, rng.random(), k) for k in (0, 1, 3, 7, 50) for i in range(40)]
+    w = spark.createDataFrame(rows, "rec_id long, i long, start_us long, end_us long, p double, r int")
+    got = {(x["rec_id"], x["i"]): x["p"] for x in score.smooth(w, F.col("r")).collect()}
+    for k in (0, 1, 3, 7, 50):
+        p = [x[4] for x in rows if x[0] == k]
+        for i in range(40):
+            part = p[max(0, i - k) : i + k + 1]
+            assert got[k, i] == pytest.approx(sum(part) / len(part))
 
 
 def windows(spark, ps):
@@ -199,7 +273,7 @@ def test_region_filters(spark):
 
 
 def test_corners():
-    assert intervals.corners(0.1, 0.02, 0)[3] == ("BottomRight", "crop=iw*0.1000:ih*0.1000:iw*0.8800:ih*0.9000")
+    assert intervals.corners(0.1, 0.02, 0)[3] == ("bottom-right", "crop=iw*0.1000:ih*0.1000:iw*0.8800:ih*0.9000")
 
 
 def one(spark, column):

@@ -71,7 +71,39 @@ def test_skips(spark):
 def test_ini(spark):
     text = "top=1\n# c\n[s]\na=1 ; x\nb=\"q;r\"\nempty=\n=none\nno pair\n; c\n[S]\nA = 2 # y\nc = #tag\nd='it'\n"
     got = {(r["section"].lower(), r["key"].lower()): r["value"] for r in settings.parse_ini(spark.createDataFrame([("f", text)], "file string, text string")).collect()}
-    assert got == {("general", "top"): "1", ("s", "a"): "2", ("s", "b"): "q;r", ("s", "empty"): "", ("s", "c"): "#tag", ("s", "d"): "it"}
+    assert got == {("general", "top"): "1", ("s", "a"): "2", ("s", "b"): "q;r", ("s", "empty"): "", ("s", "c"): "#tag", ("s", "d"): "'it'"}
+    values = {"a": ('"q;r" ; note', "q;r"), "b": ("'x' ; c", "'x'"), "c": ('"p" q "z"', "p"), "d": ('"open', '"open'), "e": ("; all", "; all"), "f": ("a # b ; c", "a # b"), "g": ('x "y"', 'x "y"')}
+    text = "".join(f"{k} = {v}\n" for k, (v, _) in values.items())
+    got = {r["key"]: r["value"] for r in settings.parse_ini(spark.createDataFrame([("f", text)], "file string, text string")).collect()}
+    assert got == {k: want for k, (_, want) in values.items()}
+
+
+def test_ini_keeps_comments(spark):
+    texts = spark.createDataFrame([("f", "# shipped\n;; by hand\nx=1 ; one\n# later\n[S]\na=2 # two\nb=\"q\"\n")], "file string, text string")
+    kv, head = settings.parse_ini(texts), settings.header_comments(texts)
+    assert settings.render_ini(kv, head).first()["text"] == "# shipped\n# by hand\n\n[General]\nx=1  ; one\n\n[S]\na=2  ; two\nb=q\n"
+
+
+def test_every_setting_has_its_default(spark):
+    from spotseam.sources.settings import KEYS, PRESETS
+
+    none = settings.with_defaults(spark.range(1)).first()
+    assert none["logo_cluster_max_gap"] == 35.0 and none["logo_cluster_min_duration"] == 30.0 and none["logo_cluster_min_events"] == 5
+    assert none["bf_use_clustering"] is False and none["output_formats"] == ["Edl"] and len(KEYS) == 45
+    assert all(none[k] is not None for k, *_ in KEYS)
+    fast = settings.with_defaults(spark.range(1), "fast").first()
+    assert {k: fast[k] for k in PRESETS["fast"]} == PRESETS["fast"]
+    text = "[Output]\nformats = edl, comskip_txt, nothing, FFMETADATA\n[Logo]\nenabled=no\ncluster_min_events=x\n"
+    own = settings.with_defaults(settings.params_of(settings.parse_ini(spark.createDataFrame([("f", text)], "file string, text string")))).first()
+    assert own["output_formats"] == ["Edl", "ComskipTxt", "FFMetadata"] and own["logo_enabled"] is False and own["logo_cluster_min_events"] == 5
+
+
+def test_skips_by_source_and_switch(spark):
+    r = spark.createDataFrame([(i, i != 3, i != 4) for i in range(1, 6)], "rec_id long, psip boolean, xds boolean")
+    told = [(1, "psip", 1.0, 2.0), (1, "xds", 3.0, 4.0), (2, "xds", 3.0, 4.0), (3, "psip", 1.0, 2.0), (3, "xds", 3.0, 4.0), (4, "xds", 3.0, 4.0), (5, "epg", 50.0, 5.0)]
+    b = spark.createDataFrame(told, "rec_id long, source string, skip_start_s double, skip_end_s double")
+    got = {x["rec_id"]: (x["skip_start_s"], x["skip_end_s"]) for x in documents.effective_skips(r, b, 30, F.lit(45), F.col("psip"), F.col("xds")).collect()}
+    assert got == {1: (1.0, 2.0), 2: (3.0, 4.0), 3: (3.0, 4.0), 4: (30.0, 45.0), 5: (50.0, 45.0)}
 
 
 def test_ini_round_trip_and_json(spark):
@@ -110,6 +142,13 @@ def test_psip():
     assert broadcast.read_psip(b"") == (None, None, None, None)
 
 
+def test_psip_first_time_table_counts():
+    gps, stt, eit = psip_stream()
+    late = stt[:5] + (gps + 4000).to_bytes(4, "big") + stt[9:]
+    assert broadcast.read_psip(packet(0x1FFB, stt) + packet(0x1FFB, late) + packet(0x1FFB, b"\0" + eit))[0] == gps - 18 + broadcast.GPS_EPOCH
+    assert broadcast.read_psip(packet(0x1FFB, late) + packet(0x1FFB, stt) + packet(0x1FFB, b"\0" + eit))[1] is None  # the listing is 3,880 s before the first
+
+
 def test_psip_section_over_two_packets():
     gps, stt, eit = psip_stream()
     long = eit[:3] + eit[3:]
@@ -153,6 +192,36 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in report.latest_runs(files.archive_entries(names)).collect()] == [("Show", "20260102_000000", "/e/Show_20260102_000000.edl")]
 
 
+def test_extensions():
+    assert files.MEDIA == (".ts", ".mpg", ".mpeg", ".mp4", ".mkv", ".avi", ".wtv", ".m4v", ".mov")
+    assert files.WATCHED == (".ts", ".mpg", ".mpeg", ".mp4", ".mkv") and len(files.BATCH) == 8
+    assert watch.SERVER["extensions"] == (".ts", ".mpg", ".mpeg", ".mp4", ".mkv", ".wtv", ".m4v")
+
+
+def test_alongside_lists_and_marks(spark, tmp_path):
+    names = spark.createDataFrame([("/v/Show One.edl",), ("/v/Show One.ts",), ("/v/x.EDL",)], "path string")
+    assert [tuple(r) for r in files.alongside_entries(names).collect()] == [("/v/Show One.edl", "Show One", None)]
+    (tmp_path / "a.txt").write_text("FILE PROCESSING COMPLETE  a.ts\r\n1\t2\n")
+    (tmp_path / "b.txt").write_text("")
+    got = {r["path"].rpartition("/")[2]: r["first_line"] for r in files.first_lines(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "FILE PROCESSING COMPLETE  a.ts", "b.txt": ""}
+    f = spark.createDataFrame([("/r/a.ts",), ("/r/b.ts",)], "path string")
+    outs = spark.createDataFrame([("/r/a.txt", "FILE PROCESSING COMPLETE  a.ts"), ("/r/b.txt", "notes")], "path string, first_line string")
+    left = lambda formats: [r["path"] for r in files.unprocessed(f, outs, formats).collect()]
+    assert left(["Edl"]) == ["/r/b.ts"] and left(["ComskipTxt"]) == []
+
+
+def test_backfill(spark, tmp_path):
+    rows = [("/w/a.ts", 20 << 20), ("/w/b.ts", 20 << 20), ("/w/c.ts", 1), ("/w/d.m4v", 20 << 20)]
+    listed = spark.createDataFrame([(p, n, T0) for p, n in rows], "path string, length long, modified timestamp")
+    outs = spark.createDataFrame([("/w/b.edl", None)], "path string, first_line string")
+    found = watch.backfill(listed, outs)
+    assert [r["path"] for r in found.collect()] == ["/w/a.ts"]
+    for _ in range(2):
+        watch.process_batch(found, lambda b: b.select("path", F.lit(True).alias("ok")), str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 1
+
+
 def segments_of(spark):
     rows = [(1, 0, 10_500_000, "Program", 0.1, 0, 1, 0, 1), (1, 10_500_000, 75_200_000, "Commercial", 0.12345, 1, 2, 1, 1), (1, 75_200_000, 3_600_000_000, "Program", 0.2, 2, 3, 2, 2)]
     return spark.createDataFrame(rows, "rec_id long, start_us long, end_us long, type string, confidence double, start_frame long, end_frame long, seg_no long, type_no long")
@@ -176,6 +245,9 @@ def test_renderers(spark):
     doc = json.loads(text(render.json_result(s, r)))
     assert doc["segments"][1]["confidence"] == 0.1234 and doc["totalDuration"] == "01:00:00" and doc["resolution"] == "1280x720"
     assert json.loads(text(render.json_result(s, r), 2))["segments"] == []
+    timed = r.withColumns({"started_at": F.to_timestamp(F.lit("2024-01-01 10:00:00")), "completed_at": F.to_timestamp(F.lit("2024-01-01 10:01:02.5"))})
+    doc = json.loads(text(render.json_result(s, timed)))
+    assert (doc["analysisStarted"], doc["analysisDuration"]) == ("2024-01-01T10:00:00.000000Z", "00:01:02.5000000")
     both = render.render(s, r, ["Edl", "Json"]).collect()
     assert sorted(x["path"] for x in both if x["rec_id"] == 1) == ["/r/My Show.breaks.json", "/r/My Show.edl"]
 
@@ -215,9 +287,9 @@ def test_all_parts_are_sorted_and_numbered(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{sf}/part.parquet')")
-    got = sorted(map(tuple, queries.QUERIES["episode_order"](spark, sf).collect()))
+    got = sorted(map(tuple, queries.QUERIES["episode_sort"](spark, sf).collect()))
     assert len(got) == con.execute("SELECT count(*) FROM part").fetchone()[0]
-    assert got == sorted(con.execute(queries.SQL["episode_order"]).fetchall())
+    assert got == sorted(con.execute(queries.SQL["episode_sort"]).fetchall())
     rows = spark.createDataFrame([("b", 2), ("a", 1), (None, 3), ("a", 1), ("c", None)] * 300, "k string, n int")
     placed = report.numbered(rows, "k", "n", parts=4).orderBy("pos").collect()
     assert [r["pos"] for r in placed] == list(range(1, 1501))
@@ -289,5 +361,5 @@ def test_queries_have_rows(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
 
 
-def test_every_query_but_bytes_has_sql():
-    assert set(queries.QUERIES) - set(queries.SQL) == {"psip_scan", "xds_scan"}
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
