@@ -1,55 +1,50 @@
-"""What the operators share: the shared folder, tables that cut lineage, skew-safe group figures."""
+"""What the operators share: texts a portion at a time, skew-safe group figures."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut, drop, new_path, shared_dir
+
+__all__ = ["batches_of", "cut", "drop", "group_figures", "need", "new_path", "portions", "release", "shared_dir"]
+
 #: Parts that a group is split into before its figures are gathered: a group
 #: with a third of all rows is then no more than 1/768 of them in one task.
 SALTS = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="spotseam-"))
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
-    return path
-
-
-#: Narrow rows a file of a table whose size is known.
-ROWS_A_FILE = 500_000
-
-
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Writes rows as a table in the shared folder and reads it back: later steps see one and
-    the same version of them, whatever executors are lost, and nothing is computed twice.
-    ``rows``, a bound of how many there are, keeps a small table from falling into many files."""
-    path = new_path(df.sparkSession, name)
-    if rows is not None:
-        df = df.coalesce(1 + rows // ROWS_A_FILE)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+#: Characters of text handled at once.
+CHARS = 3_000_000
+
+
+def batches_of(texts: list[str | None], chars: int = CHARS) -> Iterator[slice]:
+    """Runs of texts of about so many characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def portions(batch: pa.RecordBatch, column: int | str, size: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows with about ``size`` bytes of text, and these texts: few of them are Python strings at once."""
+    at = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        held += n
+        if held >= size:
+            part = batch.slice(at, i + 1 - at)
+            yield part, part.column(column).to_pylist()
+            at, held = i + 1, 0
+    if at < batch.num_rows:
+        part = batch.slice(at)
+        yield part, part.column(column).to_pylist()
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -73,3 +68,9 @@ def group_figures(df: DataFrame, keys: Sequence[str], first: Sequence[Column], s
         on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}"))
     names = [c for c in whole.columns if c not in keys]
     return parts.alias("p").join(whole.alias("w"), on).select(*[f"p.{k}" for k in [*keys, salt]], *[f"w.{n}" for n in names]), salt
+
+
+def release() -> None:
+    """For the start of a task without tokens: frees what a reused Python worker keeps of an earlier one."""
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens._ENCODERS.clear()
