@@ -2,10 +2,10 @@
 
 Each normalised text is cut where its own content says so; a chunk becomes a
 64-bit identifier; two documents are equal when their ordered identifier lists
-are.  The identifiers are verified: every distinct chunk is gathered once, and
-where two different chunks share a hash, both get an ordinal of their own.
-Documents themselves never move: only distinct chunks (combined on the map side)
-and the identifier lists do.
+are.  The identifiers are verified: of all chunks of one identifier the least and the
+greatest of two further hashes are gathered, and where these differ, each of the chunks
+gets an ordinal of its own.  Neither documents nor chunks move: only hashes and
+the identifier lists do.
 """
 
 from __future__ import annotations
@@ -29,12 +29,20 @@ def chunks(text: Column, pattern: str = CHUNK) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def collisions(recipes: DataFrame, hash_col: str = "h", chunk_col: str = "chunk") -> DataFrame:
-    """(h, chunk, ord) of the chunks whose hash another chunk has too; as a rule none."""
-    distinct = recipes.select(hash_col, chunk_col).distinct()
-    many = distinct.groupBy(hash_col).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = distinct.join(many.select(hash_col), hash_col, "left_semi")
-    return shared.withColumn("ord", F.row_number().over(W.partitionBy(hash_col).orderBy(chunk_col)))
+def _marks(chunk: Column, mask: Column) -> Column:
+    """A chunk's identifier and the two hashes that verify it."""
+    return F.struct(F.xxhash64(chunk).bitwiseAND(mask).alias("h"), F.xxhash64(F.lit("v"), chunk).alias("v"), F.xxhash64(F.lit("w"), chunk).alias("w"))
+
+
+def collisions(marks: DataFrame) -> DataFrame:
+    """(h, v, w, ord) of the chunks whose identifier another chunk has too; as a rule none. One exchange of three numbers a chunk, combined before it."""
+    differ = F.expr("lo_v <> hi_v or lo_w <> hi_w")
+    many = marks.groupBy("h").agg(F.min("v").alias("lo_v"), F.max("v").alias("hi_v"), F.min("w").alias("lo_w"), F.max("w").alias("hi_w")).filter(differ).select("h")
+    many = cut(many, "shared-identifiers")
+    if many.isEmpty():
+        return many.select("h", F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("ord"))
+    shared = marks.join(many, "h", "left_semi").distinct()
+    return cut(shared.withColumn("ord", F.row_number().over(W.partitionBy("h").orderBy("v", "w"))), "chunk-collisions")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
@@ -49,30 +57,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need(docs, id_col, text_col)
     mask = F.lit((1 << hash_bits) - 1 if hash_bits < 64 else -1).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    narrow = base.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.transform(chunks(F.col("t")), lambda c: F.xxhash64(c).bitwiseAND(mask)).alias("recipe"))
-    parts = base.select(F.explode(chunks(F.col("t"))).alias("chunk")).select(F.xxhash64("chunk").bitwiseAND(mask).alias("h"), "chunk")
-    twice = cut(collisions(parts), "chunk-collisions")
+    # Rows are numbered as they are written, so that a group can be salted whatever its ids are.
+    numbered = base.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("t", 256).alias("text_sha256"), F.transform(chunks(F.col("t")), lambda c: _marks(c, mask)).alias("parts"))
+    cut_up = cut(numbered, "chunk-lists")
+    twice = collisions(cut_up.select(F.inline("parts")))
+    recipe = F.transform("parts", lambda p: p["h"])
+    narrow = cut_up.select("doc_id", "row", "text_sha256", recipe.alias("recipe"))
     if not twice.isEmpty():
-        narrow = _with_ordinals(base, narrow, twice, mask)
-    narrow = cut(narrow, "recipes")
+        narrow = cut(_with_ordinals(cut_up, twice), "recipes")
     figures, salt = group_figures(
         narrow,
         ["recipe"],
         [F.min("doc_id").alias("m"), F.count("*").alias("n")],
         [F.min("m").alias("keep_id"), F.sum("n").alias("group_size")],
-        F.col("doc_id"),
+        F.col("row"),
     )
-    salted = narrow.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = narrow.withColumn(salt, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     out = salted.join(figures, ["recipe", salt])
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def _with_ordinals(base: DataFrame, narrow: DataFrame, twice: DataFrame, mask: Column) -> DataFrame:
-    """Recipes of documents with a chunk of a shared hash get the chunk's ordinal behind each identifier."""
-    hit = base.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.posexplode(chunks(F.col("t"))).alias("pos", "chunk"))
-    hit = hit.withColumn("h", F.xxhash64("chunk").bitwiseAND(mask)).join(twice, ["h", "chunk"], "left")
-    ordered = hit.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", "h", F.coalesce("ord", F.lit(0)).alias("ord")))).alias("parts"))
-    ordered = ordered.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda p: F.array(p["h"], p["ord"].cast("long")))).alias("marked"))
-    on = F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("n.text_sha256") == F.col("o.text_sha256"))
-    joined = narrow.alias("n").join(ordered.alias("o"), on, "left")
-    return joined.select("n.doc_id", "n.text_sha256", F.coalesce("o.marked", "n.recipe").alias("recipe"))
+def _with_ordinals(cut_up: DataFrame, twice: DataFrame) -> DataFrame:
+    """Recipes with each chunk's ordinal behind its identifier, 0 for chunks that share theirs with no other."""
+    hit = cut_up.select("row", F.posexplode("parts").alias("pos", "p")).select("row", "pos", "p.*").join(twice, ["h", "v", "w"], "left")
+    ordered = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("ord", F.lit(0)).alias("ord")))).alias("marked"))
+    marked = ordered.select("row", F.flatten(F.transform("marked", lambda p: F.array(p["h"], p["ord"].cast("long")))).alias("recipe"))
+    return cut_up.select("doc_id", "row", "text_sha256").join(marked, "row", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<bigint>")))
