@@ -3,7 +3,9 @@
 Trusted positives and unlabelled texts train a linear model that minimises the
 non-negative unbiased risk: with class prior p, positives' loss weighs p, and the
 loss of the unlabelled as negatives, less p times that of the positives as
-negatives, never counts below zero.  The prior is estimated from the two samples.
+negatives, never counts below zero.  The unlabelled are documents at large, whether someone
+has labelled them or not; the prior is the share of positives among all
+documents, from the scores of a first model.  No negative label takes part.
 Features are of the text alone: how kinds of characters follow one another, and
 how words and lines vary.
 """
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, portions, release
 
-#: Labelled rows that the model is fitted on at most, chosen by a hash of their id.
-FIT_ROWS = 20_000
-#: Of these, the share of positives that serve as trusted ones; all other rows are the unlabelled sample.
-TRUSTED = 0.5
+#: Trusted positives, and unlabelled documents, that the model is fitted on at most; chosen by hashes of ids and texts.
+FIT_ROWS = 10_000
+#: Thresholds at which the shares of positives and of all documents are compared.
+CUTS = 81
 THRESHOLD = 0.3
 _GROUPS = ["\n", "\t\r\x0b\x0c", " ", "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".", ",", ";:", "!?", "\"'`", "-", "|", "()[]{}<>", "/\\", "@", "#", "$%&*", "+=~^_"]
 KINDS = len(_GROUPS) + 3
@@ -51,17 +53,21 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([np.sqrt(pairs / max(1, len(kinds) - 1)), rest]).astype(np.float32)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores of both samples.
+def prior_cuts(positive: np.ndarray) -> np.ndarray:
+    """Scores that a fifth of the positives and more reach."""
+    return np.quantile(positive, np.linspace(0.0, 0.8, CUTS))
 
-    Above any threshold the unlabelled have at least the prior times the positives' share;
-    the least such ratio, over thresholds that keep a fifth of the positives and more, bounds the prior.
+
+def class_prior(positive: np.ndarray, cuts: np.ndarray, reached: np.ndarray, every: int) -> float:
+    """Share of positives among all documents, of which ``reached`` have at least the scores ``cuts``.
+
+    Above any threshold all documents have at least the prior times the positives' share;
+    the least such ratio bounds the prior.
     """
-    if not len(positive) or not len(unlabelled):
+    if not len(positive) or not every:
         return 0.5
-    cuts = np.quantile(positive, np.linspace(0.0, 0.8, 81))
-    share = lambda s: 1 - np.searchsorted(np.sort(s), cuts, "left") / len(s)
-    return float(np.clip((share(unlabelled) / np.maximum(share(positive), 1e-9)).min(), 0.02, 0.98))
+    of_positive = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    return float(np.clip((reached / every / np.maximum(of_positive, 1e-9)).min(), 0.02, 0.98))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -86,23 +92,6 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return w
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and offset that make scores probabilities of label 1; identity if there is one label only."""
-    if len(set(labels.tolist())) < 2:
-        return 1.0, 0.0
-    x = np.stack([scores, np.ones_like(scores)], 1)
-    goal = np.where(labels == 1, ((labels == 1).sum() + 1) / ((labels == 1).sum() + 2), 1 / ((labels == 0).sum() + 2))
-    w = np.array([1.0, 0.0])
-    for _ in range(steps):
-        s = _sigmoid(x @ w)
-        hess = (x * (s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (s - goal))
-        w = w - np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
-
-
 def _centred(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     n = np.expm1(x[:, KINDS * KINDS])[:, None]
     out = x - mean
@@ -118,15 +107,13 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    slope: float
-    offset: float
     prior: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return _centred(x, self.mean, self.scale) @ self.weights[:-1] + self.weights[-1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.raw(x) + self.offset)
+        return _sigmoid(self.raw(x))
 
 
 def held_out(id_col: Column) -> Column:
@@ -134,48 +121,64 @@ def held_out(id_col: Column) -> Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
-        x = [features(t).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.record_batch([b.column("h"), pa.array(x, pa.binary()), b.column("quality")], ["h", "x", "quality"])
+        for part, texts in portions(b, "text"):
+            yield pa.record_batch([part.column("h"), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["h", "x"])
+
 
+def _sample(rows: DataFrame, limit: int) -> np.ndarray:
+    """Features of the rows (h, text) with the least hashes, at most ``limit``, in that order."""
+    got = rows.mapInArrow(_featured, "h long, x binary").orderBy("h", "x").limit(limit).collect()  # ids that repeat can't make them more than the bound
+    return np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), WIDTH)
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, trusted: float = TRUSTED) -> Model:
-    """Fits on at most ``fit_rows`` labelled rows that aren't held out.
 
-    Labels other than 0 and 1 and null ids or labels are left out. A part of the positives are
-    the trusted ones; the labels of all others are hidden from the risk, and used
-    at the end to turn scores into probabilities.  Without positives every score is 0.5.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
+    """Fits on at most ``fit_rows`` trusted positives and as many documents at large, none of them held out.
+
+    Trusted are rows labelled 1 and never anything else; null ids and labels are left out.  The prior
+    is estimated over all documents.  Without positives every score is 0.5.
     """
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
-    chosen = known.dropDuplicates(["doc_id", "quality"]).orderBy(*order).limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "quality").mapInArrow(_featured, "h long, x binary, quality int")
-    got = rows.orderBy("h", "quality", "x").limit(fit_rows).collect()  # ids that repeat can't make them more than the bound
-    if not got:
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1), 1.0, 0.0, 0.5)
-    positives = [i for i, r in enumerate(got) if r["quality"] == 1]
-    chosen = [i for n, i in enumerate(positives) if int((n + 1) * trusted) > int(n * trusted)] or positives  # spread evenly, so that both halves of the rest are alike
-    k, rest = len(chosen), sorted(set(range(len(got))) - set(chosen))
-    order = chosen + rest
-    y = np.array([got[i]["quality"] for i in order])
-    x = np.frombuffer(b"".join(got[i]["x"] for i in order), np.float32).reshape(len(y), WIDTH)
-    del got
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = _centred(x, mean, scale)
-    del x
-    p, u = z[:k], z[k:]
-    if not len(p) or not len(u):
-        return Model(mean, scale, np.zeros(WIDTH + 1), 1.0, 0.0, 0.5)
-    a, b = len(p) // 2, len(u) // 2  # one half of each trains the probe, the other shows the prior
-    probe = fit_pu(p[:a], u[:b], 0.5, steps=100) if a and b else np.zeros(WIDTH + 1)
-    raw = lambda a, w: a @ w[:-1] + w[-1]
-    prior = class_prior(raw(p[a:], probe), raw(u[b:], probe))
-    w = fit_pu(p, u, prior)
-    slope, offset = calibrate(raw(z, w).astype(float), y)
-    return Model(mean, scale, w, slope, offset, prior)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("q")).filter(F.col("q").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    good = known.groupBy("doc_id").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).filter("lo = 1 and hi = 1").select("doc_id")
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    p = _sample(src.join(F.broadcast(chosen), "doc_id").select("h", "text"), fit_rows)
+    nothing = Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1), 0.5)
+    if len(p) < 2:
+        return nothing
+    open_rows = src.filter(~held_out(F.col("doc_id")))
+    least = [r["h"] for r in open_rows.select("h").orderBy("h").limit(fit_rows).collect()]
+    if len(least) < 2:
+        return nothing
+    u = _sample(open_rows.filter(F.col("h") <= least[-1]).select("h", "text"), fit_rows)
+    mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3
+    p, u = _centred(p, mean, scale), _centred(u, mean, scale)
+    # One half of each sample trains a first model; all documents, and the other half of the positives, show the prior.
+    probe = Model(mean, scale, fit_pu(p[::2], u[::2], 0.5, steps=100), 0.5)
+    raw = p[1::2] @ probe.weights[:-1] + probe.weights[-1]
+    cuts = prior_cuts(raw)
+    prior = class_prior(raw, cuts, *_reached(src, probe, cuts))
+    return Model(mean, scale, fit_pu(p, u, prior), prior)
+
+
+def _reached(src: DataFrame, model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all documents have each score at least, and how many there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        n, every = np.zeros(len(cuts), np.int64), 0
+        for b in batches:
+            for _, texts in portions(b, "text"):
+                s = np.sort(model.raw(np.stack([features(t) for t in texts]).astype(np.float64)))
+                n += len(s) - np.searchsorted(s, cuts, "left")
+                every += len(s)
+        yield pa.record_batch([pa.array(np.arange(len(cuts) + 1)), pa.array(np.append(n, every))], ["cut", "n"])
+
+    total = dict(src.select("text").mapInArrow(count, "cut long, n long").groupBy("cut").agg(F.sum("n")).collect())
+    return np.array([total.get(i, 0) for i in range(len(cuts))], float), total.get(len(cuts), 0)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
@@ -193,8 +196,10 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
         at = docs.columns.index(text_col)
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for b in batches:
-                yield b.filter(pa.array(scored(b.column(at).to_pylist()) >= threshold))
+                for part, texts in portions(b, at):
+                    yield part.filter(pa.array(scored(texts) >= threshold))
 
         return docs.mapInArrow(kept, docs.schema)
 
@@ -202,8 +207,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = scored(b.column("text").to_pylist())
+        release()
+        for b, texts in (x for b in batches for x in portions(b, "text")):
+            s = scored(texts)
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return src.mapInArrow(rated, f"doc_id {kind}, held_out boolean, score double, predicted int")
