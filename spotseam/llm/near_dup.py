@@ -17,9 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need
+from .common import batches_of, cut, drop, need, portions, release
 from .links import components
-from .packing import batches_of
 from .words import WordHashes, mix, seeded, shingles
 
 #: Words an element, and least similarity of a link.
@@ -27,7 +26,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: A link of similarity 0.8 is missed by all 40 bands of 6 with probability 5e-6.
 BANDS, ROWS = 40, 6
 #: Members of a bucket compared at once where its first member doesn't link them all.
-BLOCK = 256
+BLOCK = 512
 #: Coordinates that must agree before such a pair is verified: for similarity 0.8 fewer agree with probability 1e-6.
 AGREE = 0.67
 
@@ -130,9 +129,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last.  Of each class the row with the smallest id is kept, of those the one with the smallest
     text_hash; rows that repeat both are kept each.  Other columns are left out.
 
-    Copies collapse to one node first.  In each band's buckets every member is
-    compared with the first; where that leaves a bucket with several components, all
-    pairs across them are compared, in blocks, by signature and then by text.
+    Copies collapse to one node first.  The first member of a bucket is its hub; every node is
+    verified with the hub that it shares most buckets with, one pair a node.  Buckets that then
+    still hold several components are compared across them in blocks, by signature and then by
+    text, within the block: links come out, never pairs.
     """
     need(docs, id_col, text_col)
     counted = {"set": False, "count": True}[weights]
@@ -140,11 +140,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         elements = _Elements(k, counted)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for part in batches_of(texts):
-                found, w = elements.of(texts[part])
+            for part, texts in portions(b, "text"):
+                found, w = elements.of(texts)
                 full = [i for i, e in enumerate(found) if len(e)]
                 signatures = dart_signatures([found[i] for i in full], None if w is None else [w[i] for i in full], bands * rows) if full else np.zeros((0, bands * rows), np.uint32)
                 keys, small = band_keys(signatures, bands, rows), signatures.astype(np.uint8)
@@ -153,7 +153,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     key_rows[i], byte_rows[i] = keys[n], small[n].tobytes()
                 names = [elements.name(e, None if w is None else w[i]) for i, e in enumerate(found)]
                 yield pa.record_batch(
-                    [b.column("doc_id")[part.start : part.stop], b.column("text_hash")[part.start : part.stop], pa.array(names, pa.binary()), pa.array([len(e) if w is None else int(w[i].sum()) for i, e in enumerate(found)], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(names, pa.binary()), pa.array([len(e) if w is None else int(w[i].sum()) for i, e in enumerate(found)], pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(byte_rows, pa.binary())],
                     ["doc_id", "text_hash", "node", "n", "keys", "sig"],
                 )
 
@@ -162,30 +162,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min_by(F.struct("n", "keys", "sig"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
     nodes = cut(sketches.groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("copies"), first.alias("f")).select("node", "row.doc_id", "row.text_hash", "copies", "f.*"), "nodes")
 
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     hubs = cut(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "hubs")
-    members = cut(buckets.join(hubs.hint("merge"), "key").select("key", "node", "hub", "members"), "members")
-    pairs = cut(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    texts = _texts(pairs, nodes, src, k, counted)
-    # In a large group one hub links most members; the others are asked only where that leaves two components.
-    links, todo, roots = None, pairs, None
-    for choose in (F.min, F.max, None):
-        n = todo.count()
-        now = todo if choose is None else cut(todo.groupBy("a").agg(choose("b").alias("b")), "pairs-now", n)
-        found = cut(_verified(now, texts, similar, k, counted), "links")
-        links = found if links is None else cut(links.unionByName(found), "links", links.count() + n)
-        roots = components(links)
-        if choose is None:
-            break
-        todo = cut(_apart(cut(todo.join(now.hint("merge"), ["a", "b"], "left_anti"), "pairs-left", n), roots, n), "pairs-left", n)
-        if todo.isEmpty():
-            break
-
-    rest = cut(_across(members, nodes, roots, similar, bands * rows).distinct(), "pairs-across")
-    if not rest.isEmpty():
-        more = cut(_verified(rest, texts, similar, k, counted), "links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    members = cut(buckets.join(hubs.hint("merge"), "key").select("key", "band", "node", "hub"), "members")
+    drop(hubs)
+    # Each member is verified with the one hub that it shares most buckets with.
+    shared = members.filter("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
+    first = cut(shared.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")), "first-pairs")
+    texts = _texts(members, nodes, src, k, counted)
+    links = cut(_verified(first, texts, similar, k, counted), "links")
+    roots = components(links)
+    more = cut(_across(members, nodes, texts, roots, similar, k, counted), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    drop(members, first, texts, links, more)
 
     named = cut(nodes.select("node", "doc_id", "text_hash", "copies").join(roots.hint("merge"), "node", "left").select("node", "doc_id", "text_hash", "copies", F.coalesce("root", "node").alias("root")), "classes")
     sizes = cut(named.groupBy("root").agg(F.min(row).alias("row"), F.sum("copies").alias("class_size")).select("root", F.col("row.doc_id").alias("class_id"), F.col("row.text_hash").alias("class_hash"), "class_size"), "class-sizes")
@@ -194,28 +184,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).alias("kept"), "text_hash")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """Those of the pairs whose nodes are in different components."""
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).hint("merge")
-    left = cut(pairs.join(of("a"), "a", "left"), "pairs-left", n).join(of("b"), "b", "left")
-    return left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _texts(pairs: DataFrame, nodes: DataFrame, src: DataFrame, k: int, counted: bool) -> DataFrame:
-    """(node, text) of all nodes in pairs, each fetched once."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id").hint("merge"), "node"), "wanted")
+def _texts(members: DataFrame, nodes: DataFrame, src: DataFrame, k: int, counted: bool) -> DataFrame:
+    """(node, text) of all nodes in buckets, each fetched once by id and text hash."""
+    wanted = cut(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash").hint("merge"), "node"), "wanted")
     d, w = src.alias("d"), wanted.alias("w")
-    texts = d.join(w.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col("w.text_hash"))
+    texts = d.join(w.hint("merge"), same).select("w.node", "d.text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An id may repeat with another text: only the text that the node stands for stays."""
-        elements = _Elements(k, counted)
+        """Rows that repeat id and text lie one after another: one of them stays, if it is the node's own text."""
+        release()
+        elements, last = _Elements(k, counted), None
         for b in batches:
-            texts, names = b.column("text").to_pylist(), b.column("node").to_pylist()
-            for part in batches_of(texts):
-                e, weight = elements.of(texts[part])
-                good = [elements.name(x, None if weight is None else weight[i]) == n for i, (x, n) in enumerate(zip(e, names[part]))]
-                yield b.slice(part.start, part.stop - part.start).filter(pa.array(good, pa.bool_()))
+            for part, texts in portions(b, "text"):
+                e, weight = elements.of(texts)
+                good = []
+                for i, (x, n) in enumerate(zip(e, part.column("node").to_pylist())):
+                    good.append(n != last and elements.name(x, None if weight is None else weight[i]) == n)
+                    last = n if good[-1] else last
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return cut(texts.mapInArrow(own, "node binary, text string"), "texts")
 
@@ -226,6 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float, k: int, counte
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         elements, hub, hub_is = _Elements(k, counted), None, None
         for batch in batches:
             good = []
@@ -242,49 +230,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float, k: int, counte
     return both.mapInArrow(verify, "a binary, b binary").distinct()
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float, k: int) -> DataFrame:
-    """Pairs of one bucket and of different components, those with the hub left out, whose signatures nearly agree."""
-    placed = cut(members.join(roots.hint("merge"), "node", "left").select("key", "node", "hub", "members", F.coalesce("root", "node").alias("root")), "placed")
-    split = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "split-buckets")
-    left = placed.filter("node <> hub").join(split.hint("merge"), "key", "left_semi")
-    left = cut(left, "left-over").join(nodes.select("node", "n", "sig").hint("merge"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = left.select("key", "node", "root", "n", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "n", "sig")
-    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+def _across(members: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, similar: float, k: int, counted: bool) -> DataFrame:
+    """Links (a, b) between different components of one bucket, enough to join all that are linked there.
+
+    The bucket's largest component is dealt into blocks that meet the others only, so a bucket of m
+    members with s outside its largest component costs m + m s / BLOCK rows.
+    """
+    placed = cut(members.select("key", "band", "node").join(roots.hint("merge"), "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("every"))
+    split = cut(parts.filter("top.n < every").select("key", F.col("top.root").alias("top"), F.ceil((F.col("every") - F.col("top.n")) / BLOCK).alias("few"), F.ceil(F.col("top.n") / BLOCK).alias("many")), "split-buckets")
+    left = cut(placed.join(split.hint("merge"), "key"), "left-over").join(nodes.select("node", "n", "keys", "sig").hint("merge"), "node")
+    inner, few, many = F.col("root") == F.col("top"), F.col("few").cast("int"), F.col("many").cast("int")
+    home = F.pmod(F.xxhash64("node"), F.when(inner, many).otherwise(few)).cast("int")
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    with_few = lambda of: F.transform(F.sequence(F.lit(0), few - 1), of)
+    zero, one = F.lit(0), F.lit(1)
+    to_many = F.transform(F.sequence(F.lit(0), many - 1), lambda j: cell(0, F.col("home"), j, zero))
+    to_few = with_few(lambda j: cell(1, F.least("home", j), F.greatest("home", j), F.when(F.col("home") <= j, zero).otherwise(one)))
+    cells = F.when(inner, with_few(lambda i: cell(0, i, F.col("home"), one))).otherwise(F.concat(to_many, to_few))
+    dealt = left.withColumn("home", home).select("key", "band", "node", "root", "n", "keys", "sig", F.explode(cells).alias("c"))
+    dealt = dealt.select("key", "c.kind", "c.x", "c.y", "c.side", "band", "node", "root", "n", "keys", "sig")
+    dealt = dealt.repartition("key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y", "node")
+    block = ["key", "kind", "x", "y"]
+    takes_part = "key long, kind int, x int, y int, node binary, root binary, others array<binary>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: list[tuple]) -> tuple[list, list]:
-            if len(group) < 2:
-                return [], []
-            x, y = group[0][1], group[0][2]
-            sig = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), k)
-            n = np.array([g[6] for g in group], float)
-            root = np.unique([g[5] for g in group], return_inverse=True)[1]
-            mine = np.array([g[3] for g in group])
-            a, b = [], []
-            for i in range(len(group) - 1):
+        """Nodes of a block that have candidates, and those; a pair is one in the first bucket that it shares only."""
+        release()
+        for (key, kind, x, y), rows in _blocks(batches):
+            m = len(rows["node"])
+            sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(m, -1)
+            keys = np.array(rows["keys"], np.int64).reshape(m, -1)
+            n, side, band = np.array(rows["n"], float), np.array(rows["side"]), rows["band"][0]
+            root = np.unique(np.array(rows["root"], object), return_inverse=True)[1]
+            others: list[list[bytes]] = [[] for _ in range(m)]
+            met = np.zeros(m, bool)
+            for i in range(m - 1):
                 ok = (root[i + 1 :] != root[i]) & (np.minimum(n[i], n[i + 1 :]) >= similar * np.maximum(n[i], n[i + 1 :]))
-                if x != y:
-                    ok &= mine[i + 1 :] != mine[i]
+                if kind == 0 or x != y:
+                    ok &= side[i + 1 :] != side[i]
                 at = np.flatnonzero(ok) + i + 1
                 if len(at):
                     at = at[(sig[at] == sig[i]).mean(axis=1) >= AGREE]
-                a += [group[i][4]] * len(at)
-                b += [group[j][4] for j in at]
-            return a, b
+                if len(at):
+                    at = at[(keys[at, : band + 1] == keys[i, : band + 1]).argmax(axis=1) == band]
+                if len(at):
+                    others[i] = [rows["node"][j] for j in at]
+                    met[i] = met[at] = True
+            use = np.flatnonzero(met)
+            pick = lambda c: [rows[c][i] for i in use]
+            if len(use):
+                same = lambda v, t: pa.array([v] * len(use), t)
+                yield pa.record_batch(
+                    [same(key, pa.int64()), same(kind, pa.int32()), same(x, pa.int32()), same(y, pa.int32()), pa.array(pick("node"), pa.binary()), pa.array(pick("root"), pa.binary()), pa.array([others[i] for i in use], pa.list_(pa.binary()))],
+                    [*block, "node", "root", "others"],
+                )
 
-        held: list[tuple] = []
-        for batch in batches:
-            out_a, out_b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    a, b = pairs(held)
-                    out_a, out_b, held = out_a + a, out_b + b, []
-                held.append(row)
-            yield pa.record_batch([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
-        a, b = pairs(held)
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates whose components are still apart, by their texts."""
+        release()
+        elements = _Elements(k, counted)
+        for _, rows in _blocks(batches):
+            at = {v: i for i, v in enumerate(rows["node"])}
+            e, weight = [], None if not counted else []
+            for part in batches_of(rows["text"]):
+                found, w = elements.of(rows["text"][part])
+                e += found
+                if counted:
+                    weight += w
+            up: dict[bytes, bytes] = {}
+
+            def top(v: bytes) -> bytes:
+                while (u := up.get(v, v)) != v:
+                    up[v] = v = up.get(u, u)
+                return v
+
+            a, b = [], []
+            for i, (v, root, others) in enumerate(zip(rows["node"], rows["root"], rows["others"])):
+                for o in others:
+                    j = at[o]
+                    x, y = top(root), top(rows["root"][j])
+                    if x != y and similarity(e[i], e[j], None if weight is None else weight[i], None if weight is None else weight[j]) >= similar:
+                        up[x] = y
+                        a.append(v)
+                        b.append(o)
+            if a:
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    open_pairs = cut(dealt.mapInArrow(compare, takes_part), "open-pairs")
+    told = open_pairs.join(texts.hint("merge"), "node").repartition(*block).sortWithinPartitions(*block, "node")
+    return told.select(*block, "node", "root", "others", "text").mapInArrow(verify, "a binary, b binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """(the first four columns, all other columns as lists) of runs of rows that agree in the former."""
+    held: dict[str, list] = {}
+    now = None
+    for batch in batches:
+        for portion in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            names = portion.schema.names
+            keys = list(zip(*(portion.column(i).to_pylist() for i in range(4))))
+            columns = {c: portion.column(c).to_pylist() for c in names[4:]}
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != now:
+                    if now is not None:
+                        yield now, held
+                    now, held = keys[at], {c: [] for c in columns}
+                for c, v in columns.items():
+                    held[c] += v[at:end]
+                at = end
+    if now is not None:
+        yield now, held
