@@ -1,8 +1,7 @@
 r"""Quotation linking: conversations in reply order without what they quote; DataFrame functions only.
 
-Quote levels are peeled off one at a time: runs of lines that begin with ``>`` are
-blocks; a block without its outer marks has passages of its own and blocks of the
-next level.  Quoted passages, their paragraphs and their lines are normalised and
+A line's quote level is the number of marks before it; runs of lines of one level, however
+deep, are passages.  Quoted passages, their paragraphs and their lines are normalised and
 hashed, and joined with the first message of the conversation that says the same
 outside quotes.  A message replies to the latest such message, of those quoted at
 its lowest linked level.
@@ -10,16 +9,17 @@ its lowest linked level.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, need
 
-#: Quote levels told apart; deeper ones count as the last.
-LEVELS = 6
-_RUN = r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))+"
-_MARK = r"(?m)^[ \t]*>[ \t]?"
-_ALL_MARKS = r"(?m)^(?:[ \t]*>)+[ \t]?"
+#: One quoted line; a repeated group would recurse once a line.
+_QUOTED = r"(?m)^[ \t]*>[^\n]*(?:\n|\z)"
+_MARKS = r"^((?:[ \t]*>)*)"
+_ALL_MARKS = r"^(?:[ \t]*>)+[ \t]?"
 
 
 def normal(text: Column) -> Column:
@@ -27,14 +27,35 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
 
 
-def unquoted(text: Column) -> Column:
-    """The text's parts outside quotes."""
-    return F.split(text, _RUN, -1)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def passages(text: Column) -> Column:
+    """(level, text without marks) of its runs of lines of one level, in order, those outside quotes (level 0) too; linear in the lines."""
+    lines = F.split(text, "\n", -1)
+    level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
 
+    def runs(x: Column) -> Column:
+        n = F.size(x["lines"])
+        new = F.zip_with(x["levels"], F.concat(F.array(F.lit(-1)), F.slice(x["levels"], F.lit(1), n - 1)), lambda now, before: now != before)
+        starts = F.filter(F.transform(new, lambda is_new, i: F.when(is_new, i)), lambda i: i.isNotNull())
+        return F.struct(x["lines"].alias("lines"), x["levels"].alias("levels"), starts.alias("starts"), n.alias("n"))
 
-def blocks(text: Column) -> Column:
-    """Its quoted runs of lines, without their outer marks."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda b: F.regexp_replace(b, _MARK, ""))
+    def cut_up(x: Column) -> Column:
+        ends = F.concat(F.slice(x["starts"], F.lit(2), F.size(x["starts"])), F.array(x["n"]))
+        body = lambda a, b: F.array_join(F.transform(F.slice(x["lines"], a + 1, b - a), lambda line: F.regexp_replace(line, _ALL_MARKS, "")), "\n")
+        return F.zip_with(x["starts"], ends, lambda a, b: F.struct(F.get(x["levels"], a).alias("level"), body(a, b).alias("part")))
+
+    leveled = _let(lines, lambda x: F.struct(x.alias("lines"), F.transform(x, level).alias("levels")))
+    return _let(_let(leveled, runs), cut_up)
+
+
+def unquoted(text: Column) -> Column:
+    """The text's parts outside quotes."""
+    outside = F.transform(F.filter(passages(text), lambda p: p["level"] == 0), lambda p: p["part"])
+    return F.when(text.rlike(_QUOTED), outside).otherwise(F.array(text))
 
 
 def keys(parts: Column) -> Column:
@@ -62,13 +83,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     said = known.select("conv_id", "turn", F.explode(keys(unquoted(F.col("text")))).alias("k")).select("conv_id", "turn", "k.h", "k.g")
     first = cut(said.groupBy("conv_id", "h", "g").agg(F.min("turn").alias("said_at")), "first-said")
 
-    peeled = known.filter(F.col("text").rlike(_RUN)).select("conv_id", "turn", blocks(F.col("text")).alias("b1"))
-    for level in range(1, LEVELS):
-        last = level == LEVELS - 1
-        inner = F.flatten(F.transform(f"b{level}", blocks))
-        peeled = peeled.withColumn(f"b{level + 1}", F.transform(inner, lambda b: F.regexp_replace(b, _ALL_MARKS, "")) if last else inner)
-    by_level = F.array(*[F.struct(F.lit(n).alias("level"), keys(F.flatten(F.transform(f"b{n}", unquoted))).alias("ks")) for n in range(1, LEVELS + 1)])
-    quoted = peeled.select("conv_id", "turn", F.explode(by_level).alias("x")).select("conv_id", "turn", "x.level", F.explode("x.ks").alias("k"))
+    parts = known.filter(F.col("text").rlike(_QUOTED)).select("conv_id", "turn", F.inline(passages(F.col("text")))).filter("level > 0")
+    quoted = parts.select("conv_id", "turn", "level", F.explode(keys(F.array("part"))).alias("k"))
     quoted = cut(quoted.select("conv_id", "turn", "level", "k.h", "k.g").groupBy("conv_id", "turn", "h", "g").agg(F.min("level").alias("level")), "quoted")
 
     met = quoted.join(first.hint("merge"), ["conv_id", "h", "g"], "left")
@@ -79,7 +95,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     up = _chains(replies.filter("reply_to is not null").select("conv_id", "turn", "reply_to"))
     facts = cut(replies.join(up.hint("merge"), ["conv_id", "turn"], "left"), "reply-facts")
     out = m.join(facts.hint("merge"), ["conv_id", "turn"], "left")
-    clean = F.trim(F.regexp_replace(F.col("text"), _RUN, ""))
+    clean = F.trim(F.regexp_replace(F.col("text"), _QUOTED, ""))
     zero = F.lit(0).cast("long")
     return out.select("conv_id", "turn", "role", clean.alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", zero).alias("depth"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"))
 
