@@ -26,6 +26,9 @@ ENDPOINT = r"""https?://[^\s"'<>]{4,}"""
 #: Code points between the starts of parts of one credential.
 SCOPE = 400
 
+#: Matches whose spans are added up in one go: a list grows by copying, so a text's are not gathered in one.
+STEP = 256
+
 _SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
@@ -37,15 +40,32 @@ def spans_of(text: Column, pattern: str, kind: int, keep) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long")).alias("g"), F.transform(found, lambda m: F.struct(F.length(m).cast("long").alias("n"), keep(m).alias("ok"))).alias("m"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+    zero, none = F.lit(0).cast("long"), F.array().cast(_SPANS)
+    length = lambda x: x["g"] + F.coalesce(x["m"]["n"], zero)
 
     def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.coalesce(x["m"]["n"], F.lit(0).cast("long"))
+        s, e = acc["at"] + x["g"], acc["at"] + length(x)
         one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
         return F.struct(e.alias("at"), F.when(F.coalesce(x["m"]["ok"], F.lit(False)), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.exists(found, keep), F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    def blocks(x: Column) -> Column:
+        """The pairs in blocks, and where each block begins."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda i: F.slice(x, i * STEP + 1, F.lit(STEP)))
+        sizes = F.transform(parts, lambda part: F.aggregate(part, zero, lambda acc, y: acc + length(y)))
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        begins = F.aggregate(sizes, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.struct(parts.alias("parts"), begins.alias("begins"))
+
+    def spans(x: Column) -> Column:
+        of = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(x["parts"], x["begins"], of))
+
+    return F.when(F.exists(found, keep), _let(_let(pairs, blocks), spans)).otherwise(none)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def as_text(spans: Column) -> Column:
