@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need
-from .tokens import encoder
+from .common import cut, need, portions
+from .tokens import ENCODED, encoder
 
 WINDOW = 2048
 #: Open windows a partition; a leftover window holds at most 8 KB of ids.
@@ -29,8 +29,6 @@ OPEN = 64
 GAP = 8
 #: Leftover windows a group in the second pass.
 GROUP = 256
-#: Texts encoded at once.
-CHARS = 4_000_000
 
 
 class Packer:
@@ -110,18 +108,6 @@ def _rows(windows: list[list], first: int, ids: bool, kind: pa.DataType) -> pa.R
     )
 
 
-def batches_of(texts: list[str | None], chars: int = CHARS) -> Iterator[slice]:
-    """Runs of texts of about so many characters."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, places: int = OPEN, gap: int = GAP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -141,9 +127,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         id_type = None
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for part in batches_of(texts):
-                for k, ids in zip(keys[part], enc.encode(texts[part])):
+            for part, texts in portions(b, "text", ENCODED):
+                for k, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
                     ids = np.append(ids, np.uint32(end_id))
                     packer.add(k, 0, len(ids), ids)
                 if packer.done:

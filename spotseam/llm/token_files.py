@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, need, new_path
-from .packing import batches_of
-from .tokens import encoder
+from .common import cut, need, new_path, portions
+from .tokens import ENCODED, encoder
 
 MAGIC = b"SEAMTOK1"
 #: Ids a block.
@@ -148,9 +147,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 fs.create_dir(where.rpartition("/")[0], recursive=True)
                 sink = fs.open_output_stream(where)
                 out = Writer(sink, b.schema.field("doc_id").type, bits=bits)
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for part in batches_of(texts):
-                for k, ids in zip(keys[part], enc.encode(texts[part])):
+            for part, texts in portions(b, "text", ENCODED):
+                for k, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
                     out.add(k, np.append(ids, np.uint32(end_id)))
         if out is not None:
             out.close()
@@ -164,7 +162,8 @@ def read_token_files(files: DataFrame, id_type: str = "bigint") -> DataFrame:
     """One row per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     listed = files.select("part", "path", before.alias("before"))
-    spread = listed.repartition("path")
+    # One file a task: by number, as adaptive execution would put such few and small rows into one.
+    spread = listed.repartition(max(1, files.count()), "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

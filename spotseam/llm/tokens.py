@@ -1,9 +1,10 @@
-"""Exact, fast token ids: the library encodes each distinct word once.
+"""Exact, fast token ids: the library's model encodes each distinct piece once.
 
-The word vocabulary never lets a token cross white space, so the ids of a text
-are the ids of its words one after another.  New words of
-Latin letters are cut into the pre-tokens of the vocabulary and encoded by its
-model; other words go through the library whole, with every Unicode rule.
+The vocabulary cuts texts into pieces of letters, single digits and runs of other
+signs, none of which crosses white space, and a piece's ids don't depend on what
+is beside it.  Texts of Latin letters are cut here by the vocabulary's own pattern; of
+other texts the words with other letters go through the library whole, with
+every Unicode rule.  Arrow numbers the distinct pieces of a batch, so each is looked up once.
 """
 
 from __future__ import annotations
@@ -12,24 +13,57 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: The vocabulary's own pre-token pattern, its letters and digits spelled out up to U+017F.
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u012f\u0131-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t-\r {_LETTER}{_DIGIT}]+")
 #: Texts of these only: composing changes none of them, lower case is the same everywhere, and white space is ASCII.
 _LATIN = re.compile("[\0-\x1b \x21-\x7f\xa1-\u012f\u0131-\u017f]*")
-#: Python splits at these, the vocabulary doesn't: such texts go to the library whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SEP = "~"
-_JOIN = 256
+_SPACES = re.compile("[\t-\r ]+")
+#: Bytes of text to encode at once: the more, the fewer pieces are looked up again.
+ENCODED = 6_000_000
+
+
+class _Generation:
+    """Pieces and their ids, laid end to end."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.start, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, np.uint32), 0
+
+    def add(self, words: list[str], lens: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.at)
+        if n + len(words) > len(self.len):
+            grow = max(2 * len(self.len), n + len(words))
+            self.start, self.len = np.resize(self.start, grow), np.resize(self.len, grow)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.len[n : n + len(words)] = lens
+        self.start[n : n + len(words)] = self.used + np.cumsum(lens) - lens
+        self.used += len(flat)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words, end to end."""
+        lens = self.len[index]
+        at = np.repeat(self.start[index] - (np.cumsum(lens) - lens), lens)
+        at += np.arange(len(at))
+        return lens, self.flat[at]
 
 
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``max_words`` bounds the cache (about 350 bytes a word, its pre-tokens included); when it is full it
-    starts afresh, which costs time and never changes an id.  Strings such as
-    ``<|endoftext|>`` in a text are ordinary text.  A null text has no ids.
+    The cache has two generations of ``max_words`` pieces each (about 200 bytes a piece; one batch may
+    be more). When the newer one is full it becomes the older one, whose pieces move up again as they are
+    met, so that frequent ones stay; that never changes an id.  Strings such as ``<|endoftext|>``
+    in a text are ordinary text.  A null text has no ids.
     """
 
     def __init__(self, path: str, max_words: int = 400_000):
@@ -41,96 +75,62 @@ class WordEncoder:
         self._model = self._lib.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._bytes = lambda w: level.pre_tokenize_str(w)[0][0]
-        sep = self._lib.encode(_SEP, add_special_tokens=False).ids
-        self._sep = sep[0] if len(sep) == 1 else None
-        self._clear()
-
-    def _clear(self) -> None:
-        self._at: dict[str, int] = {}
-        self._pieces: dict[str, list[int]] = {}
-        self._start, self._len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self._flat, self._used = np.zeros(4096, np.uint32), 0
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, p: str) -> list[int]:
-        if (ids := self._pieces.get(p)) is None:
-            ids = self._pieces[p] = [x.id for x in self._model.tokenize(p if p.isascii() and p.isprintable() else self._bytes(p))]
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds words to the cache. Latin ones are cut into pre-tokens for the model; of the rest, many are encoded as one text with a separator that none holds."""
-        order, pieces, plain, odd = [], [], [], []
-        if len(self._pieces) > self._max // 2:
-            self._pieces.clear()
-        for w in words:
+        self._new, self._old = _Generation(), _Generation()
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Pieces of a text; a word with other letters is one piece, with a space before it."""
+        if _LATIN.fullmatch(text):
+            return _PIECES.findall(text.lower())
+        out = []
+        for w in _SPACES.split(text):
             if _LATIN.fullmatch(w):
-                order.append(w)
-                found = _PIECES.findall(w.lower())
-                pieces.append(self._piece(found[0]) if len(found) == 1 else [x for p in found for x in self._piece(p)])
+                out += _PIECES.findall(w.lower())
             else:
-                (odd if self._sep is None or _SEP in w else plain).append(w)
-        for i in range(0, len(plain), _JOIN):
-            part = plain[i : i + _JOIN]
-            ids = np.array(self._lib.encode(f" {_SEP} ".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self._sep)
-            if len(cut) != len(part) - 1:
-                odd += part
-                continue
-            order += part
-            pieces += [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]  # without the separator
-        for w, ids in zip(odd, self._library(odd) if odd else []):
-            order.append(w)
-            pieces.append(np.array(ids, np.uint32))
-        if not order:
-            return
-        n, lens = len(self._at), np.fromiter(map(len, pieces), np.int64, len(pieces))
-        if n + len(order) > len(self._len):
-            grow = max(2 * len(self._len), n + len(order))
-            self._start, self._len = np.resize(self._start, grow), np.resize(self._len, grow)
-        flat = np.fromiter(chain.from_iterable(pieces), np.uint32, int(lens.sum()))
-        if self._used + len(flat) > len(self._flat):
-            self._flat = np.resize(self._flat, max(2 * len(self._flat), self._used + len(flat)))
-        self._flat[self._used : self._used + len(flat)] = flat
-        self._len[n : n + len(order)] = lens
-        self._start[n : n + len(order)] = self._used + np.cumsum(lens) - lens
-        self._used += len(flat)
-        self._at.update(zip(order, range(n, n + len(order))))
+                out.append(" " + w)
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces to the newer generation: from the older one, by the model, or by the library."""
+        if self._old.at:
+            index = self._old.find(pieces)
+            known = index >= 0
+            self._new.add([pieces[i] for i in np.flatnonzero(known)], *self._old.ids(index[known]))
+            pieces = [pieces[i] for i in np.flatnonzero(~known)]
+        odd = [p for p in pieces if p[0] == " "]
+        plain = [p for p in pieces if p[0] != " "] if odd else pieces
+        model = self._model.tokenize
+        ids = [[x.id for x in model(p if p.isascii() and p.isprintable() else self._bytes(p))] for p in plain]
+        if odd:
+            plain = plain + odd
+            ids += [e.ids for e in self._lib.encode_batch_fast([p[1:] for p in odd], add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._new.add(plain, lens, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if t and _ODD_SPACE.search(t)]
-        words = [(t or "").split() for t in texts]
-        for i in whole:
-            words[i] = []
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        every = list(chain.from_iterable(words))
-        del words
-        index = np.fromiter(map(self._at.get, every, repeat(-1)), np.int64, len(every))
+        pieces = [self._cut(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        coded = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+        del pieces
+        distinct = coded.dictionary.to_pylist()
+        index = self._new.find(distinct)
         if len(missing := np.flatnonzero(index < 0)):
-            new = list(dict.fromkeys(every[i] for i in missing))
-            if self._at and len(self._at) + len(new) > self._max:
-                self._clear()
-                return self.encode(texts)
-            self._learn(new)
-            index[missing] = [self._at[every[i]] for i in missing]
-        lens = self._len[index]
-        ends = np.cumsum(lens)
-        at = np.repeat(self._start[index] - (ends - lens), lens)
-        at += np.arange(len(at))
-        flat = self._flat[at]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
-            out[i] = np.array(ids, np.uint32)
-        return out
+            if self._new.at and len(self._new.at) + len(missing) > self._max:
+                # The newer generation is full: it becomes the older one, and this batch's pieces start the next.
+                self._old, self._new, missing = self._new, _Generation(), np.arange(len(distinct))
+            fresh = [distinct[i] for i in missing]
+            self._learn(fresh)
+            index[missing] = self._new.find(fresh)
+        lens, flat = self._new.ids(index[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker and vocabulary, kept between tasks."""
+    """One encoder a Python worker and vocabulary, kept between tasks (``common.release`` frees it)."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
