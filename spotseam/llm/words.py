@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -27,10 +29,19 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x + np.uint64(_GOLD * (seed + 1) & 0xFFFFFFFFFFFFFFFF))
 
 
+#: Letters of scripts that put no spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _apart(text: str) -> str:
+    """The text with each such letter as a word of its own."""
+    return text if text.isascii() or not _UNSPACED.search(text) else _UNSPACED.sub(r" \g<0> ", text)
+
+
 class WordHashes(dict):
     """Hash of each word; a bounded cache that starts afresh when full. Words that ``normal`` empties have hash 0."""
 
-    def __init__(self, normal: Callable[[str], str] | None = None, limit: int = 300_000):
+    def __init__(self, normal: Callable[[str], str] | None = None, limit: int = 200_000):
         super().__init__()
         self.normal, self.limit = normal, limit
 
@@ -42,10 +53,16 @@ class WordHashes(dict):
         return h
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, lower-cased and split at white space, and how many each text has."""
-        words = [(t or "").lower().split() for t in texts]
+        """Hashes of all words, lower-cased and split at white space (with ``normal`` also between signs of scripts without spaces), and how many each text has.
+
+        Arrow numbers the distinct words of the batch, so each is looked up once.
+        """
+        words = [(_apart(t) if self.normal and t else t or "").lower().split() for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+        coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        del words
+        distinct = coded.dictionary.to_pylist()
+        flat = np.fromiter(map(self.__getitem__, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
         if self.normal and len(flat):
             owner = np.repeat(np.arange(len(texts)), counts)[flat != 0]
             flat, counts = flat[flat != 0], np.bincount(owner, minlength=len(texts))
