@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spotseam.llm import decontam, exact_dedup, near_dup, repeats
+from spotseam.llm import decontam, exact_dedup, induced, near_dup, repeats
 from spotseam.llm.links import components
 
 DOCS = "doc_id long, text string"
@@ -38,9 +38,24 @@ def brute_repeats(rows, length=400):
                 end = s + length
         spans = sum(1 for j in range(len(r)) if gone[j] and (j == 0 or not gone[j - 1]))
         out.append((i, len(r), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(r, gone) if not g)).hexdigest()))
+    out = [(*x, *y) for x, y in zip(out, brute_passages(rows))]
     return sorted(out, key=str)
 
 
+def brute_passages(rows, words=repeats.WORDS):
+    """(passages, words in them) of each row."""
+    texts = [[w for w in re.split("[\t-\r ]+", t or "") if w] for _, t in rows]
+    seen = Counter(tuple(w[s : s + words]) for w in texts for s in range(len(w) - words + 1))
+    out = []
+    for w in texts:
+        gone = [False] * len(w)
+        for s in range(len(w) - words + 1):
+            if seen[tuple(w[s : s + words])] > 1:
+                gone[s : s + words] = [True] * words
+        out.append((sum(1 for j in range(len(w)) if gone[j] and (j == 0 or not gone[j - 1])), sum(gone)))
+    return out
+
+
 def test_repeats_brute_force(spark, sf):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh é") for _ in range(1500))
@@ -58,6 +73,58 @@ def test_repeats_many_ends_of_one_passage(spark):
     assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()), key=str) == brute_repeats(rows)
 
 
+def test_passages_shorter_than_the_removed_strings(spark):
+    """Passages of 50 words and more in few bytes: told of, not removed; one word less is none."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 5)))
+    passage = [word() for _ in range(60)]
+    own = lambda: [word() + str(rng.randint(0, 10**6)) for _ in range(rng.randint(0, 90))]
+    rows = [(i, " ".join(own() + passage[a:b] + own())) for i, (a, b) in enumerate([(0, 60), (0, 60), (5, 57), (0, 50), (0, 49), (11, 60), (3, 59)])]
+    rows += [(10, " ".join(own())), (11, " \n" + "\t ".join(passage)), (15, " ".join(passage).upper()), (12, " ".join(passage + passage)), (13, "a " * 200), (14, None)]
+    got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == brute_repeats(rows)
+    facts = {r[0]: r[5:] for r in got}
+    assert facts[0] == (1, 60) and facts[4] == (0, 0) and facts[10] == (0, 0) and facts[11] == (1, 60) and facts[15] == (0, 0) and all(r[2] == 0 for r in got if r[0] < 11)
+
+
+def test_induced_sorting_equals_plain_sorting(tmp_path):
+    """Suffixes and common prefixes of small texts of few letters, with queues that hold two records."""
+    rng = random.Random(1)
+    for _ in range(400):
+        t = [rng.randint(1, rng.choice([2, 3, 5])) for _ in range(rng.randint(1, 40))]
+        if rng.random() < 0.3:
+            t = t + t[: rng.randint(1, len(t))] + t
+        want, order = [], sorted(range(len(t)), key=lambda i: t[i:])
+        for a, i in enumerate(order):
+            k, j = 0, order[a - 1]
+            while a and max(i, j) + k < len(t) and t[i + k] == t[j + k]:
+                k += 1
+            want.append((i, k))
+        disk = induced.Disk(str(tmp_path))
+        run = induced.sorted_suffixes(np.array(t), disk, held=rng.choice([2, 5, 1000]))
+        assert [(i, k) for i, k, _, _ in run.records()] == want
+        run.drop()
+        assert disk.now == 0 and not list(tmp_path.iterdir())
+
+
+def test_induced_removal_equals_the_operator(spark, sf):
+    rows = texts(spark, sf)[:40] + [(1000, "ab" * 300), (1001, None), (1002, "é" * 500)]
+    got, disk = induced.remove_repeats_of_shard([(t or "").encode() for _, t in rows], held=1000)
+    assert sorted(((i, *x) for (i, _), x in zip(rows, got)), key=str) == [x[:5] for x in brute_repeats(rows)]
+    assert disk.most > 0
+
+
+def test_repeats_over_one_segment(spark):
+    """A text of more than one segment, and a copy of its middle across the seam."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghij klmnop") for _ in range(repeats.SEGMENT + 5000))
+    seam = long[repeats.SEGMENT - 700 : repeats.SEGMENT + 900]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame([(1, long), (2, "#" + seam + "#")], DOCS)).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"]) == (1600, 1, 1600)
+    kept = long[: repeats.SEGMENT - 700] + long[repeats.SEGMENT + 900 :]
+    assert got[1]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_repeats_long_texts_in_segments():
     rng = np.random.default_rng(0)
     raw = rng.integers(97, 105, 5000, dtype=np.uint8).tobytes()
@@ -239,9 +306,9 @@ def test_decontamination_brute_force(spark, sf):
     found = [(r["doc_id"], r["item_id"]) for r in got.collect()]
     assert set(found) == brute_overlaps(rows, items)
     assert found.count((6000, 900)) == 2
-    small = decontam.decontaminate(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=600)
+    small = decontam.decontaminate(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), bits=64)  # a bitmap that keeps nearly everything
     assert sorted((r["doc_id"], r["item_id"]) for r in small.collect()) == sorted(found)
-    kept = decontam.without_contaminated(clashing(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=600)
+    kept = decontam.without_contaminated(clashing(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in found}
     assert "_salt" in kept.columns
 
@@ -276,6 +343,33 @@ def test_overlap_is_the_documented_rule(spark):
     assert [r["doc_id"] for r in kept.collect()] == [3]
 
 
+def test_very_long_texts(spark):
+    """Over a megabyte: a benchmark item deep inside is found at its word, and near copies are."""
+    rng = random.Random(21)
+    many = [f"word{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    item = [f"item{i}" for i in range(30)]
+    other = list(many)
+    for i in range(0, len(other), 60):  # one word in sixty: 0.85 similar
+        other[i] = f"new{i}"
+    rows = [(1, " ".join(many[:100_000] + item + many[100_000:])), (2, " ".join(other)), (3, "short text of a few words"), (4, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = decontam.decontaminate(df, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 9, 100_000, 30, 30)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dedup(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert len(rows[0][1]) > 1_000_000
+
+
+def test_near_dedup_with_null_ids(spark):
+    """Hundreds of rows of null id: texts are fetched by id and hash, and every class is whole."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(0, 120, 2)] + [(None, " ".join(base))] * 3 + [(None, "something else altogether here")]
+    got = near_dup.near_dedup(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["class_size"] for r in got) == [1] + [63] * 63
+    kept = [r for r in got if r["kept"]]
+    assert len({(r["class_size"], r["text_hash"]) for r in kept}) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert repeats.remove_repeats(none).count() == 0
