@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -74,3 +75,6 @@ def release() -> None:
     """For the start of a task without tokens: frees what a reused Python worker keeps of an earlier one."""
     if tokens := sys.modules.get(f"{__package__}.tokens"):
         tokens._ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

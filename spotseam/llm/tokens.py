@@ -10,10 +10,11 @@ every Unicode rule.  Arrow numbers the distinct pieces of a batch, so each is lo
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The vocabulary's own pre-token pattern, its letters and digits spelled out up to U+017F.
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u012f\u0131-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -22,35 +23,35 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t-\r
 _LATIN = re.compile("[\0-\x1b \x21-\x7f\xa1-\u012f\u0131-\u017f]*")
 _SPACES = re.compile("[\t-\r ]+")
 #: Bytes of text to encode at once: the more, the fewer pieces are looked up again.
-ENCODED = 6_000_000
+ENCODED = 4_000_000
 
 
 class _Generation:
-    """Pieces and their ids, laid end to end."""
+    """Pieces in one Arrow array, about 50 bytes each, and their ids laid end to end."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
+        self.pieces = pa.array([], pa.string())
         self.start, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def add(self, words: list[str], lens: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.at)
-        if n + len(words) > len(self.len):
-            grow = max(2 * len(self.len), n + len(words))
+    def add(self, pieces: pa.Array, lens: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.pieces)
+        if n + len(pieces) > len(self.len):
+            grow = max(2 * len(self.len), n + len(pieces))
             self.start, self.len = np.resize(self.start, grow), np.resize(self.len, grow)
         if self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(flat)))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.len[n : n + len(words)] = lens
-        self.start[n : n + len(words)] = self.used + np.cumsum(lens) - lens
+        self.len[n : n + len(pieces)] = lens
+        self.start[n : n + len(pieces)] = self.used + np.cumsum(lens) - lens
         self.used += len(flat)
-        self.at.update(zip(words, range(n, n + len(words))))
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
 
-    def find(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
 
     def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids of words, end to end."""
+        """Lengths and ids of pieces, end to end."""
         lens = self.len[index]
         at = np.repeat(self.start[index] - (np.cumsum(lens) - lens), lens)
         at += np.arange(len(at))
@@ -60,7 +61,7 @@ class _Generation:
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The cache has two generations of ``max_words`` pieces each (about 200 bytes a piece; one batch may
+    The cache has two generations of ``max_words`` pieces each (about 50 bytes a piece; one batch may
     be more). When the newer one is full it becomes the older one, whose pieces move up again as they are
     met, so that frequent ones stay; that never changes an id.  Strings such as ``<|endoftext|>``
     in a text are ordinary text.  A null text has no ids.
@@ -90,35 +91,37 @@ class WordEncoder:
                 out.append(" " + w)
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: pa.Array) -> None:
         """Adds pieces to the newer generation: from the older one, by the model, or by the library."""
-        if self._old.at:
+        if len(self._old.pieces):
             index = self._old.find(pieces)
             known = index >= 0
-            self._new.add([pieces[i] for i in np.flatnonzero(known)], *self._old.ids(index[known]))
-            pieces = [pieces[i] for i in np.flatnonzero(~known)]
-        odd = [p for p in pieces if p[0] == " "]
-        plain = [p for p in pieces if p[0] != " "] if odd else pieces
-        model = self._model.tokenize
-        ids = [[x.id for x in model(p if p.isascii() and p.isprintable() else self._bytes(p))] for p in plain]
-        if odd:
-            plain = plain + odd
-            ids += [e.ids for e in self._lib.encode_batch_fast([p[1:] for p in odd], add_special_tokens=False)]
+            self._new.add(pieces.filter(pa.array(known)), *self._old.ids(index[known]))
+            pieces = pieces.filter(pa.array(~known))
+        model, ids, odd = self._model.tokenize, [], []
+        for k, p in enumerate(pieces.to_pylist()):
+            if p[0] == " ":
+                odd.append((k, p[1:]))
+                ids.append([])
+            else:
+                ids.append([x.id for x in model(p if p.isascii() and p.isprintable() else self._bytes(p))])
+        for (k, _), e in zip(odd, self._lib.encode_batch_fast([w for _, w in odd], add_special_tokens=False) if odd else []):
+            ids[k] = e.ids
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._new.add(plain, lens, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
+        self._new.add(pieces, lens, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces = [self._cut(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         coded = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
         del pieces
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
         index = self._new.find(distinct)
         if len(missing := np.flatnonzero(index < 0)):
-            if self._new.at and len(self._new.at) + len(missing) > self._max:
+            if len(self._new.pieces) and len(self._new.pieces) + len(missing) > self._max:
                 # The newer generation is full: it becomes the older one, and this batch's pieces start the next.
                 self._old, self._new, missing = self._new, _Generation(), np.arange(len(distinct))
-            fresh = [distinct[i] for i in missing]
+            fresh = distinct.take(pa.array(missing))
             self._learn(fresh)
             index[missing] = self._new.find(fresh)
         lens, flat = self._new.ids(index[coded.indices.to_numpy()])
