@@ -32,8 +32,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 ROWS_A_FILE = 500_000
 
 
-#: Shuffle files go as soon as the table that they led to is written.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go as soon as it is, and Python workers get batches of bounded size.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -44,12 +44,14 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE}
+    for k, v in _WHILE.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
