@@ -25,6 +25,14 @@ def score_map(segments: DataFrame) -> DataFrame:
     return segments.groupBy("rec_id", "i").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("signal", F.lit(1.0).alias("score"))))).alias("signal_scores"))
 
 
+def reference_signal(entries: DataFrame) -> DataFrame:
+    """(rec_id, signal): the signal with the most windows, of equals the first; ``entries`` are (rec_id, signal, ord, n).
+
+    Grids all come from the duration here, so this only tells which one a reader of single signals would take.
+    """
+    return entries.groupBy("rec_id").agg(F.max_by("signal", F.struct("n", -F.col("ord"))).alias("signal"))
+
+
 #: Window numbers times this, divided by the radius: two windows are within the radius exactly if these differ by no more than it.
 _STEPS = 1 << 20
 

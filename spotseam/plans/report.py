@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import csv_quoted, report_time
+from ..functions.scalars import basename, csv_quoted, folder, report_time
+from ..sources.files import is_media
 
 SHOWS_HEADER = "Show,Det_Breaks,Actual_Breaks,Notes"
 BREAKS_HEADER = "Show,Break,Det_Start,Det_End,Actual_Start,Actual_End,Notes"
@@ -76,8 +77,41 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def media_per_folder(files: DataFrame) -> DataFrame:
-    from ..functions.scalars import folder
-    from ..sources.files import is_media
+def summary(totals: DataFrame, took: Column | None = None) -> DataFrame:
+    """(rec_id, text): what a run tells at its end, from ``segments.totals``; ``took`` are its seconds."""
+    one = lambda c: F.format_string("%.1f", c)
+    text = F.concat(F.lit("Results: "), F.col("n_breaks").cast("string"), F.lit(" commercial break(s) detected\nTotal commercial time: "), one(F.col("break_s")), F.lit("s\n"))
+    return totals.select("rec_id", (text if took is None else F.concat(text, F.lit("Analysis time: "), one(took), F.lit("s\n"))).alias("text"))
+
+
+def progress_bar(percent: Column) -> Column:
+    """Twenty cells, one for each five percent."""
+    full = F.floor(percent / 5).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), 20 - full), F.lit("] "), F.format_string("%.0f", percent.cast("double")), F.lit("%"))
+
+
+#: How a log names its levels.
+LEVELS = {"Trace": "trce", "Debug": "dbug", "Information": "info", "Warning": "warn", "Error": "fail", "Critical": "crit"}
+
 
+def log_lines(rows: DataFrame) -> DataFrame:
+    """Rows (level, category, event_id, message, exception) with ``text``, two lines each and a third for an exception; level None is left out."""
+    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in LEVELS.items() for v in kv]), F.col("level")), F.lit("????"))
+    text = F.concat(level, F.lit(": "), "category", F.lit("["), F.col("event_id").cast("string"), F.lit("]\n      "), "message", F.lit("\n"), F.coalesce(F.concat(F.lit("      "), F.col("exception"), F.lit("\n")), F.lit("")))
+    return rows.filter("level <> 'None'").withColumn("text", text)
+
+
+def dry_run(files: DataFrame, mode: str = "episode") -> DataFrame:
+    """(folder, text): the files of each folder in the order a batch takes them, by season and episode, then path; or by path alone."""
+    name = basename(F.col("path"))
+    _, season, episode = episode_keys(name)
+    known = name.rlike("[Ss](\\d+)[Ee](\\d+)")
+    key = F.when(known & F.lit(mode == "episode"), season * 10_000 + episode).otherwise(99_999_999)
+    rows = files.select(folder(F.col("path")).alias("folder"), F.struct(key.alias("key"), F.col("path"), name.alias("name")).alias("x"))
+    by = rows.groupBy("folder").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    head = F.concat(F.lit("Dry run — "), F.size("xs").cast("string"), F.lit(" file(s) in '"), "folder", F.lit(f"' (sort: {mode}):\n"))
+    return by.select("folder", F.concat(head, F.array_join(F.transform("xs", lambda x: F.concat(F.lit("  "), x["name"], F.lit("\n"))), "")).alias("text"))
+
+
+def media_per_folder(files: DataFrame) -> DataFrame:
     return files.groupBy(folder(F.col("path")).alias("folder")).agg(F.count_if(is_media(F.col("path"))).cast("bigint").alias("n_media"))

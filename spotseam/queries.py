@@ -667,6 +667,44 @@ def batch_outcomes(spark, sf_dir):
     return report.outcomes(views.table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("ok")))
 
 
+@query("SELECT rec_id, 'Results: ' || count(*) FILTER (WHERE type = 'Commercial') || ' commercial break(s) detected' || chr(10) || 'Total commercial time: ' || printf('%.1f', coalesce(sum((end_us - start_us) / 1000000.0) FILTER (WHERE type = 'Commercial'), 0.0)::DOUBLE) || 's' || chr(10) AS text FROM fin GROUP BY rec_id")
+def run_summary(spark, sf_dir):
+    return report.summary(segments.totals(_breaks(spark, sf_dir)))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'info' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'dbug' ELSE '????' END || ': Detector[' || (event_id % 7) || ']' || chr(10) || '      user ' || user_id || chr(10)
+    || CASE WHEN event_type = 'error' THEN '      at ' || event_id || chr(10) ELSE '' END AS text FROM events WHERE event_type <> 'signup'""")
+def log_lines(spark, sf_dir):
+    e, t = views.table(spark, sf_dir, "events"), F.col("event_type")
+    level = F.when(t == "view", "Information").when(t == "error", "Error").when(t == "click", "Debug").when(t == "signup", "None").otherwise("Other")
+    rows = e.select("event_id", level.alias("level"), F.lit("Detector").alias("category"), (F.col("event_id") % 7).alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("message"), F.when(t == "error", F.concat(F.lit("at "), F.col("event_id").cast("string"))).alias("exception"))
+    shown = report.log_lines(rows.withColumn("key", F.col("event_id")).withColumn("event_id", F.col("id")))
+    return shown.select(F.col("key").alias("event_id"), "text")
+
+
+@query("""SELECT folder, 'Dry run — ' || count(*) || ' file(s) in ' || chr(39) || folder || chr(39) || ' (sort: episode):' || chr(10) || string_agg('  ' || name || chr(10), '' ORDER BY k, folder || '/' || name) AS text
+    FROM (SELECT '/rec/' || (p_size % 20) AS folder, CASE WHEN p_partkey % 4 = 0 THEN 'special ' || p_partkey ELSE 'Show s0' || (p_size % 8) || 'E0' || (p_partkey % 10) || ' ' || p_partkey END || '.ts' AS name, CASE WHEN p_partkey % 4 = 0 THEN 99999999 ELSE p_size % 8 * 10000 + p_partkey % 10 END AS k FROM part) GROUP BY folder""")
+def dry_run(spark, sf_dir):
+    p, k = views.table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("special "), k)).otherwise(F.concat(F.lit("Show s0"), (F.col("p_size") % 8).cast("string"), F.lit("E0"), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), k))
+    return report.dry_run(p.select(F.concat(F.lit("/rec/"), (F.col("p_size") % 20).cast("string"), F.lit("/"), name, F.lit(".ts")).alias("path")))
+
+
+@query("SELECT rec_id, signal FROM (SELECT rec_id, signal, row_number() OVER (PARTITION BY rec_id ORDER BY count(*) DESC, min(CASE signal WHEN 'BlackFrame' THEN 0 WHEN 'SceneChange' THEN 1 WHEN 'Silence' THEN 2 WHEN 'LogoAbsence' THEN 3 ELSE 4 END)) AS n FROM ev GROUP BY rec_id, signal) WHERE n = 1")
+def reference_signal(spark, sf_dir):
+    order = F.array_position(F.array(*map(F.lit, detect.SIGNALS)), F.col("signal"))
+    return score.reference_signal(_events(spark, sf_dir).groupBy("rec_id", "signal").agg(F.count("*").alias("n")).withColumn("ord", order))
+
+
+@query("""SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY lower(path) ORDER BY layer, n) AS k FROM (SELECT '/Set/' || (c_custkey % 50) AS path, 0 AS layer, c_custkey AS n FROM customer
+    UNION ALL SELECT '/set/' || (s_suppkey % 70), 1, s_suppkey FROM supplier WHERE s_suppkey % 70 % 2 = 0)) WHERE k = 1""")
+def recording_dirs(spark, sf_dir):
+    named = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("/Set/"), (F.col("c_custkey") % 50).cast("string")).alias("path"))
+    usual = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("/set/"), (F.col("s_suppkey") % 70).cast("string")).alias("path"))
+    there = spark.range(0, 70, 2).select(F.concat(F.lit("/set/"), F.col("id").cast("string")).alias("path"))
+    return documents.recording_dirs(named, usual, there).select("path")
+
+
 # Files ----------------------------------------------------------------------
 
 

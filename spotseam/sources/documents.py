@@ -23,12 +23,13 @@ def parse_probe(df: DataFrame, json_col: str = "json") -> DataFrame:
     """
     p = F.from_json(json_col, PROBE)
     of = lambda kind: F.get(F.filter(F.col("_p.streams"), lambda s: s["codec_type"] == kind), F.lit(0))
-    v, a = F.col("_v"), F.col("_a")
+    v, a = F.col("_s.v"), F.col("_s.a")
     whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     rate = F.when(F.coalesce(v["avg_frame_rate"], F.lit("")).isin("", "0/0"), v["r_frame_rate"]).otherwise(v["avg_frame_rate"])
     total = number(F.col("_p.format.duration"))
     seconds = F.when(total > 0, total).otherwise(number(v["duration"]))
-    rows = df.withColumn("_p", p).withColumns({"_v": of("video"), "_a": of("audio")})
+    # Exploding one value keeps it from being computed again for every column that is read from it.
+    rows = df.withColumn("_p", F.explode(F.array(p))).withColumn("_s", F.explode(F.array(F.struct(of("video").alias("v"), of("audio").alias("a")))))
     keep = [c for c in df.columns if c != json_col]
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(*keep, F.round(seconds * 1_000_000).cast("bigint").alias("duration_us"), whole(v["width"]).alias("width"), whole(v["height"]).alias("height"), fraction(text(rate)).alias("frame_rate"), text(v["codec_name"]).alias("video_codec"), text(a["codec_name"]).alias("audio_codec"), whole(a["sample_rate"]).alias("audio_sample_rate"), whole(a["channels"]).alias("audio_channels"))
@@ -95,6 +96,16 @@ def server_paths(df: DataFrame, xml_col: str = "xml") -> DataFrame:
     return distinct_paths(rows, "ord")
 
 
+def recording_dirs(configured: DataFrame, usual: DataFrame, existing: DataFrame) -> DataFrame:
+    """(path, ord): folders that settings name, then the usual ones that exist; repeats (case aside) left out.
+
+    configured (ord, path) as ``server_paths`` gives it, usual (ord, path), existing (path).
+    """
+    found = usual.join(existing.select("path").distinct(), "path", "left_semi")
+    rows = configured.select("path", F.struct(F.lit(0).alias("layer"), "ord").alias("ord")).unionByName(found.select("path", F.struct(F.lit(1).alias("layer"), "ord").alias("ord")))
+    return distinct_paths(rows, "ord")
+
+
 def distinct_paths(df: DataFrame, order: str, path_col: str = "path") -> DataFrame:
     """The first of the paths that differ in case only."""
     w = W.partitionBy(F.lower(path_col)).orderBy(order)

@@ -21,6 +21,15 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def batch_listing(spark: SparkSession, path: str) -> DataFrame:
+    """The recordings that a batch takes from one folder, not from those below."""
+    return candidates(listing(spark, path, recursive=False), extensions=BATCH)
+
+
+def megabytes(length: Column) -> Column:
+    return length / (1024.0 * 1024.0)
+
+
 def is_media(path: Column, extensions=MEDIA) -> Column:
     return F.lower(extension(path)).isin(*extensions)
 
@@ -51,8 +60,8 @@ def unprocessed(files: DataFrame, outputs: DataFrame, formats: list[str] = ("Edl
 
 
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, first_line) of text files; each is read by its own task."""
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path)
+    """(path, first_line) of text files that have any content; for those that merely lie there see ``listing``."""
+    texts = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r")).alias("first_line"))
 
 

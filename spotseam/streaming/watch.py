@@ -102,8 +102,11 @@ def backfill(files: DataFrame, outputs: DataFrame, formats: list[str] = ("Edl",)
     return wanted.select("path", F.col("modified").alias("ready_at"), F.col("length").alias("size"))
 
 
-def process_batch(batch: DataFrame, process, ledger: str) -> None:
-    """Hands files not in the ledger to ``process(batch) -> DataFrame (path, ok)`` and records the outcome."""
+def process_batch(batch: DataFrame, process, ledger: str, jobs: int | None = None) -> None:
+    """Hands files not in the ledger to ``process(batch) -> DataFrame (path, ok)`` and records the outcome.
+
+    With ``jobs`` the files lie in so many partitions, and no more than that many are worked on at once.
+    """
     spark = batch.sparkSession
     try:
         done = spark.read.parquet(ledger).select("path")
@@ -111,12 +114,18 @@ def process_batch(batch: DataFrame, process, ledger: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = spark.createDataFrame([], "path string")
-    process(batch.dropDuplicates(["path"]).join(done, "path", "left_anti")).select("path", "ok").write.mode("append").parquet(ledger)
+    new = batch.dropDuplicates(["path"]).join(done, "path", "left_anti")
+    process(new if jobs is None else new.repartition(clamped(0, jobs)[1], "path")).select("path", "ok").write.mode("append").parquet(ledger)
+
+
+def counters(ledger: DataFrame) -> DataFrame:
+    """(processed, failed) of a ledger, which may be read as a stream."""
+    return ledger.agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def process_new(stable: DataFrame, process, ledger: str, checkpoint: str):
+def process_new(stable: DataFrame, process, ledger: str, checkpoint: str, jobs: int | None = None):
     """Starts a query that processes each batch.
 
     A batch that runs again finds its own rows in the ledger, so a file counts once.
     """
-    return stable.writeStream.foreachBatch(lambda batch, _: process_batch(batch, process, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stable.writeStream.foreachBatch(lambda batch, _: process_batch(batch, process, ledger, jobs)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
