@@ -16,6 +16,17 @@ def number(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("double"), F.lit(0.0))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double scaled, rounded half away from zero and scaled back, as SQL's ``round`` does.
+
+    ``F.round`` goes by the shortest decimal text instead: near a tie the two disagree.
+    """
+    y = value * float(10**places)
+    size = F.abs(y)
+    whole = F.floor(size)
+    return F.when(size < 2.0**52, F.signum(y) * (whole + F.when(size - whole >= 0.5, 1).otherwise(0)) / float(10**places)).otherwise(value)
+
+
 def fraction(text: Column) -> Column:
     """``a/b`` as a double, a plain number as it is, 0 where neither; a zero denominator gives 0."""
     a, b = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))

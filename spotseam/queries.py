@@ -189,7 +189,7 @@ _SEG = "rec_id, start_us, end_us, type, round(confidence, 6) AS confidence, star
 
 
 def _shown(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("rec_id", "start_us", "end_us", "type", F.round("confidence", 6).alias("confidence"), "start_frame", "end_frame", *more)
+    return df.select("rec_id", "start_us", "end_us", "type", x.rounded(F.col("confidence"), 6).alias("confidence"), "start_frame", "end_frame", *more)
 
 
 @query(f"SELECT {_SEG}, seg_no FROM num")
@@ -317,7 +317,7 @@ def duration_filter_remerge(spark, sf_dir):
 @query("SELECT rec_id, round(list_reduce(list(confidence ORDER BY start_us), lambda a, b: (a + b) / 2), 6) AS confidence FROM isl GROUP BY rec_id")
 def confidence_fold(spark, sf_dir):
     parts = F.sort_array(F.collect_list(F.struct("start_us", "confidence")))
-    return _islands(spark, sf_dir).groupBy("rec_id").agg(parts.alias("c")).select("rec_id", F.round(segments.folded(F.transform("c", lambda c: c["confidence"])), 6).alias("confidence"))
+    return _islands(spark, sf_dir).groupBy("rec_id").agg(parts.alias("c")).select("rec_id", x.rounded(segments.folded(F.transform("c", lambda c: c["confidence"])), 6).alias("confidence"))
 
 
 @query(f"""SELECT {_SEG} FROM (SELECT x.* REPLACE (CASE WHEN x.type = 'Commercial' AND (x.start_us < s.skip_s OR (s.skip_e > 0 AND x.end_us > 3600000000 - s.skip_e)) THEN 'Program' ELSE x.type END AS type) FROM isl x JOIN settled s USING (rec_id))""")

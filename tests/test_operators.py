@@ -208,6 +208,20 @@ def test_gap_merge_and_confidence_fold(spark):
     assert shown(segments.bridge_gaps(chain, 1)) == [("C", 0.0, 5.0, 0.6, 150)]
 
 
+def test_merged_confidences_round_as_the_sql_does(spark):
+    import duckdb
+
+    from spotseam import queries
+
+    ties = [0.2513835, 0.5027495, 0.13998649999999999, 0.40359849999999997, 0.8071294999999999, 0.4296875, 0.0, 1.0]
+    made = spark.createDataFrame([(n, 0, 10 * S, "Commercial", c, 0, 300) for n, c in enumerate(ties)], SEGMENTS)
+    got = [r["confidence"] for r in queries._shown(segments.bridge_gaps(made, 20)).orderBy("rec_id").collect()]
+    assert got == [duckdb.execute(f"SELECT round({c!r}::DOUBLE, 6)").fetchone()[0] for c in ties]
+    assert got[:3] == [0.251383, 0.502749, 0.139987]
+    odd = spark.createDataFrame([(0, -0.5), (1, -2.4), (2, 1e300), (3, float("inf")), (4, None)], "n int, v double")
+    assert [r["v"] for r in odd.withColumn("v", x.rounded(F.col("v"), 0)).orderBy("n").collect()] == [-1.0, -2.0, 1e300, float("inf"), None]
+
+
 def plain_rewrite(rows, gap, lo, hi):
     """Repeated merging, as one would by hand."""
     rows = [list(r) for r in rows]
